@@ -33,8 +33,8 @@ from llm import kernel
 ORDER, SYMBOLS = 3, 64
 #: Training documents of a language, and bytes of each.
 SAMPLE, MOST_BYTES = 150, 8000
-#: Texts that need more bits a byte than this even in the best language are in none of them.
-REJECT_BITS = 5.5
+#: Texts that need more bits a byte than this even in the best language are in none of them; 8 is what they take unmodelled.
+REJECT_BITS = 9.0
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double, margin_bits double"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from llm import op4_substring_dedup
+from llm import op1_ngram_jaccard, op3_language_id, op4_substring_dedup, op6_repetition
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard.query,
+    "op3_language_id": op3_language_id.query,
     "op4_substring_dedup": op4_substring_dedup.query,
+    "op6_repetition": op6_repetition.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
