@@ -28,33 +28,28 @@ def visible_at(at: Column | int) -> Column:
 
 def held(visible: DataFrame) -> DataFrame:
     """Intervals in which a statement is affirmed and not denied: group, statement_id, start, end."""
-    keys = [*GROUP, "statement_id"]
-    spans = visible.select(*keys, "polarity", F.col("claimed_from").alias("start"), F.col("claimed_to").alias("end"))
-    affirmed = intervals.coalesce(spans.filter("polarity > 0"), keys)
-    return intervals.subtract(affirmed, spans.filter("polarity < 0").select(*keys, "start", "end"), keys)
+    spans = visible.select(*GROUP, "statement_id", "polarity", F.col("claimed_from").alias("start"), F.col("claimed_to").alias("end"))
+    return intervals.signed(spans, [*GROUP, "statement_id"], "polarity")
 
 
-def independent(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("status", F.lit("active"))
+def statuses(rows: DataFrame) -> DataFrame:
+    """Rows (group, statement_id, start, end, rule) with their status, and ends cut where another statement supersedes.
 
-
-def superseding(rows: DataFrame) -> DataFrame:
-    """A later start of another statement closes the one before; equal starts contradict."""
+    supersede: a later start of another statement closes the one before; equal starts contradict.
+    contradiction: statements with an interval that overlaps another statement's are contradicted throughout.
+    independent: all are active. One exchange by group serves all three.
+    """
     order = Window.partitionBy(*GROUP).orderBy("start", "statement_id")
-    rows = rows.withColumn("__ps", F.lag("statement_id").over(order)).withColumn("__pt", F.lag("start").over(order))
-    rows = rows.withColumn("__ns", F.lead("statement_id").over(order)).withColumn("__nt", F.lead("start").over(order))
-    other_before, other_after = F.col("__ps") != F.col("statement_id"), F.col("__ns") != F.col("statement_id")
-    clash = F.coalesce(other_before & (F.col("__pt") == F.col("start")), F.lit(False)) | F.coalesce(other_after & (F.col("__nt") == F.col("start")), F.lit(False))
-    closed = F.coalesce(other_after & (F.col("end") >= F.col("__nt")), F.lit(False))
-    status = F.when(clash, "contradicted").when(closed, "superseded").otherwise("active")
-    return rows.withColumn("status", status).withColumn("end", F.when(F.col("status") == "superseded", F.col("__nt") - 1).otherwise(F.col("end"))).drop("__ps", "__pt", "__ns", "__nt")
-
-
-def contradicting(rows: DataFrame) -> DataFrame:
-    """Statements with an interval that overlaps another statement's are contradicted throughout."""
-    bad = intervals.overlapping(rows, GROUP, "statement_id").withColumn("__bad", F.lit(True))
-    rows = rows.join(bad, [*GROUP, "statement_id"], "left")
-    return rows.withColumn("status", F.when(F.col("__bad"), "contradicted").otherwise("active")).drop("__bad")
+    other = lambda c: F.coalesce(c != F.col("statement_id"), F.lit(False))
+    before, after = F.lag("statement_id").over(order), F.lead("statement_id").over(order)
+    same_start = (other(before) & (F.lag("start").over(order) == F.col("start"))) | (other(after) & (F.lead("start").over(order) == F.col("start")))
+    closed = other(after) & (F.col("end") >= F.lead("start").over(order))
+    rows = rows.select("*", same_start.alias("__same"), closed.alias("__closed"), F.lead("start").over(order).alias("__next"), intervals.clashes(GROUP, "start", "end", "statement_id").alias("__clash"))
+    rows = rows.withColumn("__bad", F.max("__clash").over(Window.partitionBy(*GROUP, "statement_id")))
+    supersede = F.when(F.col("__same"), "contradicted").when(F.col("__closed"), "superseded").otherwise("active")
+    status = F.when(F.col("rule") == "supersede", supersede).when((F.col("rule") == "contradiction") & F.col("__bad"), "contradicted").otherwise("active")
+    rows = rows.withColumn("status", status)
+    return rows.withColumn("end", F.when(F.col("status") == "superseded", F.col("__next") - 1).otherwise(F.col("end"))).drop("__same", "__closed", "__next", "__clash", "__bad")
 
 
 def support(visible: DataFrame) -> DataFrame:
@@ -96,14 +91,14 @@ def fold(assertions: DataFrame, ontology: DataFrame, at: Column | int | None = N
     calibration: (extractor_id, calibration); others have the default.
     """
     visible = assertions if at is None else assertions.filter(visible_at(at))
+    # one exchange by statement serves intervals, support and their join
+    visible = visible.repartition("statement_id")
     defs = ontology.select(F.col("name").alias("predicate"), rule(F.col("cardinality"), F.col("temporality"), F.col("invalidation")).alias("rule"), "prior")
-    rows = held(visible).join(F.broadcast(defs), "predicate")
-    parts = [f(rows.filter(F.col("rule") == name)) for name, f in (("independent", independent), ("supersede", superseding), ("contradiction", contradicting))]
-    beliefs = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = support(visible)
     if calibration is not None:
         counts = counts.join(calibration, "extractor_id", "left")
-    out = beliefs.join(counts, "statement_id")
+    rows = held(visible).join(counts, "statement_id").join(F.broadcast(defs), "predicate")
+    out = statuses(rows)
     return out.select(*GROUP, "statement_id", F.col("start").alias("valid_from"), F.col("end").alias("valid_to"), "status", F.round(confidence(F.col("prior"), calibration), 6).alias("confidence"), "affirm_count", "deny_count", "distinct_episodes", *(f"n_{t}" for t in TRUST))
 
 

@@ -54,18 +54,14 @@ def classify(files: DataFrame, events: DataFrame, hashes: DataFrame) -> DataFram
     return out.select("path", "hash", F.when(known.isNull(), "new").when(known, "unchanged").otherwise("modified").alias("state"))
 
 
-def as_of(rows: DataFrame, policies: DataFrame, key: str, at: str, tie: str = "effective_from") -> DataFrame:
+def as_of(rows: DataFrame, policies: DataFrame, key: str, at: str, start: str = "effective_from") -> DataFrame:
     """Rows with the policy in force at their time: the latest start up to it whose end, if any, is later.
 
     Both sides are ordered together within a key, so a row costs one window step however many policies a key has.
     """
-    return _as_of(rows, policies, key, at, tie)
-
-
-def _as_of(rows: DataFrame, policies: DataFrame, key: str, at: str, start: str) -> DataFrame:
     columns = rows.columns
     left = rows.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__row"), F.struct(*columns).alias("__left"), F.lit(None).cast("struct<trust:string,effective_from:bigint,effective_to:bigint>").alias("__p"))
-    right = policies.select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__row"), F.lit(None).cast(left.schema["__left"].dataType).alias("__left"), F.struct(F.col("trust"), F.col("effective_from").cast("bigint"), F.col("effective_to").cast("bigint")).alias("__p"))
+    right = policies.select(F.col(key).alias("__k"), F.col(start).alias("__t"), F.lit(0).alias("__row"), F.lit(None).cast(left.schema["__left"].dataType).alias("__left"), F.struct(F.col("trust"), F.col(start).cast("bigint").alias("effective_from"), F.col("effective_to").cast("bigint").alias("effective_to")).alias("__p"))
     order = Window.partitionBy("__k").orderBy("__t", "__row", "__p.effective_to").rowsBetween(Window.unboundedPreceding, 0)
     met = left.unionByName(right).withColumn("__p", F.last("__p", ignorenulls=True).over(order)).filter("__row = 1")
     inside = F.col("__p.effective_to").isNull() | (F.col("__p.effective_to") > F.col("__t"))
