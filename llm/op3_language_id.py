@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm import kernel
+from llm import kernel, worker
 
-ORDER, SYMBOLS = 3, 64
+ORDER, SYMBOLS = 3, 48
 #: Training documents of a language, and bytes of each.
 SAMPLE, MOST_BYTES = 150, 8000
+#: Languages that are learned; the first ones in order of name if there are more.
+LANGUAGES = 200
 #: Texts that need more bits a byte than this even in the best language are in none of them; 8 is what they take unmodelled.
 REJECT_BITS = 9.0
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double, margin_bits double"
@@ -138,47 +140,66 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -
     """A model from the rows whose crc32(doc_id) mod 4 is not 2."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, most_bytes).alias("t"))
-    ranked = rows.withColumn("part", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).filter(F.col("r") <= sample)
+    # the hash up to which rows are taken is found on hashes alone: within 64 parts of a language, then over those
+    ranked = rows.select("lang", "h").withColumn("part", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).filter(F.col("r") <= sample)
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
+    edges = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).orderBy("lang").limit(LANGUAGES).collect()}
+    taken = F.lit(False)
+    for lang, h in edges.items():
+        taken = taken | ((F.col("lang") == lang) & (F.col("h") <= h))
     samples: dict[str, list[bytes]] = {}
-    for row in ranked.select("lang", "t", "h").orderBy("lang", "h").collect():
+    for row in rows.filter(taken).orderBy("lang", "h", "t").collect():
         samples.setdefault(row.lang, []).append(bytes(row.t))
     return train(samples)
 
 
+def _predicted(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language of each text (the number of languages for none), score, bits a byte, and the lead in bits."""
+    data, offsets = kernel.strings(texts)
+    bits = [code_lengths(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernel.slices(offsets, 1 << 18)]
+    bits = np.concatenate(bits) if m.languages else np.zeros((len(texts), 1))
+    size = np.maximum(1, np.diff(offsets))
+    ranked = np.sort(bits, axis=1)
+    lead = ranked[:, 1] - ranked[:, 0] if bits.shape[1] > 1 else np.zeros(len(bits))
+    # bits count less the longer a text is, so long texts are not all certain
+    weight = np.exp2(-np.minimum(1000, (bits - ranked[:, :1]) / 8 / np.sqrt(size)[:, None]))
+    und = ~_letters(texts)
+    if not m.languages:
+        und[:] = True
+    return np.where(und, len(m.languages), bits.argmin(1)), np.where(und, 0.0, 1 / weight.sum(1)), np.where(und, 0.0, ranked[:, 0] / size), np.where(und, 0.0, lead)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: predicted language, score, bits a byte in it, and bits by which it leads."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         m: Model = broadcast.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column("text")
-            data, offsets = kernel.strings(texts)
-            bits = [code_lengths(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernel.slices(offsets, 1 << 18)]
-            bits = np.concatenate(bits) if m.languages else np.zeros((batch.num_rows, 1))
-            size = np.maximum(1, np.diff(offsets))
-            best = bits.argmin(1)
-            ranked = np.sort(bits, axis=1)
-            lead = ranked[:, 1] - ranked[:, 0] if bits.shape[1] > 1 else np.zeros(len(bits))
-            # the share of the winner when a byte counts an eighth: long texts are not all certain
-            weight = np.exp2(-np.minimum(1000, (bits - ranked[:, :1]) / 8 / np.sqrt(size)[:, None]))
-            score = 1 / weight.sum(1)
-            und = ~_letters(texts)
-            if not m.languages:
-                und[:] = True
-            best = np.where(und, len(m.languages), best)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.where(und, 0.0, score)), pa.array(np.where(und, 0.0, ranked[:, 0] / size)), pa.array(np.where(und, 0.0, lead))],
-                names=["doc_id", "lang_pred", "score", "bits_per_byte", "margin_bits"],
-            )
+            if batch.num_rows:
+                best, *rest = _predicted(m, batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), *map(pa.array, rest)], names=["doc_id", "lang_pred", "score", "bits_per_byte", "margin_bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> DataFrame:
+    """Rows of ``docs``, as they are, whose text is in one of the languages: it has a letter, and its best code is short enough."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
+        m: Model = broadcast.value
+        for batch in batches:
+            if batch.num_rows:
+                best, _, bits, _ = _predicted(m, batch.column("text"))
+                yield batch.filter(pa.array((best < len(m.languages)) & (bits <= most_bits)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column) -> object:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
