@@ -63,12 +63,12 @@ def _(spark, d):
 
 @query(
     "j9_source_policy_asof",
-    with_("policies", extra="sup AS (SELECT l_orderkey, l_linenumber, concat('s:', l_suppkey) AS source_id, " + f"{VALID} - (l_orderkey % 25 - 5) * 86400000000 AS at FROM lineitem)")
-    + "SELECT l_orderkey, l_linenumber, at, (SELECT arg_max(CASE WHEN effective_to IS NULL OR effective_to > at THEN trust END, effective_from) FROM policies p WHERE p.source_id = sup.source_id AND effective_from <= at) AS policy_trust FROM sup",
+    with_("policies", extra="sup AS (SELECT l_orderkey, l_linenumber, concat('s:', l_suppkey) AS source_id, " + f"{VALID} - (l_orderkey % 25 - 5) * 86400000000 AS moment FROM lineitem)")
+    + "SELECT l_orderkey, l_linenumber, moment, (SELECT arg_max(CASE WHEN effective_to IS NULL OR effective_to > moment THEN trust END, effective_from) FROM policies p WHERE p.source_id = sup.source_id AND effective_from <= moment) AS policy_trust FROM sup",
 )
 def _(spark, d):
-    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("source_id"), (F.lit(VALID) - (F.col("l_orderkey") % 25 - 5) * 86_400_000_000).alias("at"))
-    return rel.as_of(rows, fx.policies(spark, d), "source_id", "at").select("l_orderkey", "l_linenumber", "at", "policy_trust")
+    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("source_id"), (F.lit(VALID) - (F.col("l_orderkey") % 25 - 5) * 86_400_000_000).alias("moment"))
+    return rel.as_of(rows, fx.policies(spark, d), "source_id", "moment").select("l_orderkey", "l_linenumber", "moment", "policy_trust")
 
 
 @query("j10_correlated_scalars", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customers, (SELECT min(s_name) FROM supplier WHERE s_nationkey = n_nationkey) AS first_supplier FROM nation")

@@ -101,8 +101,8 @@ def literal_text(json: Column) -> Column:
 
 def fnv1a(hex_text: Column) -> Column:
     """64-bit FNV-1a of the bytes of a string, as hexadecimal; products are taken in 16-bit limbs, as ANSI arithmetic does not wrap."""
-    raw = F.hex(F.encode(hex_text, "UTF-8"))
-    byte = F.transform(F.sequence(F.lit(0), F.floor(F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substring(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    pairs = F.filter(F.split(F.hex(F.encode(hex_text, "UTF-8")), "(?<=\\G..)"), lambda h: h != "")
+    byte = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long"))
     limb = lambda v, k: F.shiftrightunsigned(v, 16 * k).bitwiseAND(0xFFFF)
 
     def step(h: Column, b: Column) -> Column:
@@ -115,4 +115,4 @@ def fnv1a(hex_text: Column) -> Column:
         return limb(a0, 0).bitwiseOR(F.shiftleft(limb(a1, 0), 16)).bitwiseOR(F.shiftleft(limb(a2, 0), 32)).bitwiseOR(F.shiftleft(limb(a3, 0), 48))
 
     start = F.lit(0xCBF29CE484222325 - (1 << 64)).cast("long")
-    return F.lower(F.lpad(F.hex(F.when(F.length(raw) == 0, start).otherwise(F.aggregate(byte, start, step))), 16, "0"))
+    return F.lower(F.lpad(F.hex(F.aggregate(byte, start, step)), 16, "0"))

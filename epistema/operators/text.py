@@ -13,19 +13,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once: an expression in a lambda's body would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(text: Column, n: int) -> Column:
+    # characters are split once, as a substring at a place costs the way there
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    made = lambda cs: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+    return bound(chars, made)
+
+
 def grams(text: Column, n: int = 3) -> Column:
-    """All runs of n characters, lower case; shorter texts have none. Characters are split once, as a substring at a place costs the way there."""
-    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-    made = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-    return F.when(F.size(chars) >= n, made).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters, lower case; shorter texts have none."""
+    return _runs(F.lower(text), n)
 
 
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct runs of n characters of the text with n - 1 marks on both sides."""
     mark = "\u0001" * (n - 1)
-    chars = F.filter(F.split(F.concat(F.lit(mark), text, F.lit(mark)), ""), lambda c: c != "")
-    made = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(made))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(_runs(F.concat(F.lit(mark), text, F.lit(mark)), n)))
 
 
 def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:

@@ -84,4 +84,4 @@ def indexed(episodes: DataFrame, beliefs: DataFrame, surfaces: DataFrame) -> Dat
     """Rows to index: episodes' texts that are not redacted, statements as text, and surfaces."""
     live = episodes.filter("redacted_at is null").select(F.lit("episode").alias("kind"), F.col("episode_id").cast("string").alias("id"), F.col("content").alias("text"))
     said = beliefs.select(F.lit("statement").alias("kind"), F.col("statement_id").alias("id"), F.concat_ws(" ", "subject_id", "predicate", "object").alias("text")).distinct()
-    return live.unionByName(said).unionByName(surfaces.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("surface").alias("text")))
+    return live.unionByName(said).unionByName(surfaces.select(F.lit("entity").alias("kind"), F.col("entity_id").cast("string").alias("id"), F.col("surface").alias("text")))
