@@ -468,3 +468,115 @@ def _(spark, d):
     stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in").select(a.columns)
     ingest.run(stream, root, ontology(spark), f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/{ingest.version(spark, root)}")
+
+
+# lookups, lists and settings
+
+
+@query("f23_key_lookup", "SELECT p_partkey FROM part WHERE trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) = 'small ring' AND p_type = 'ECONOMY'")
+def _(spark, d):
+    keys = fx.table(spark, d, "part").withColumn("normalized", resolve.normal(F.col("p_name")))
+    return keys.filter((F.col("normalized") == "small ring") & (F.col("p_type") == "ECONOMY")).select("p_partkey")
+
+
+@query("f22_reverse_lookup", with_("assertions") + "SELECT DISTINCT statement_id, subject_id AS subject_surface, predicate, CASE WHEN object LIKE 'obj:%' THEN 'entity' ELSE 'text' END AS object_kind, object AS object_surface FROM assertions")
+def _(spark, d):
+    s = fx.assertions(spark, d).select("statement_id", "subject_id", "predicate", "object").distinct()
+    return s.select("statement_id", F.col("subject_id").alias("subject_surface"), "predicate", F.when(F.col("object").startswith("obj:"), "entity").otherwise("text").alias("object_kind"), F.col("object").alias("object_surface"))
+
+
+@query("f15_f16_declarations", None)
+def _(spark, d):
+    from epistema.plans import rebuild
+
+    a = fx.assertions(spark, d).filter("predicate = 'works_on'")
+    log = a.select(F.col("assertion_id").alias("seq"), F.lit("add_statement").alias("op"), "subject_id", F.lit("mentors").alias("predicate"), "object", "polarity", F.col("claimed_from").alias("valid_from"), F.col("claimed_to").alias("valid_to"), F.col("recorded_at").alias("at"), "trust")
+    mentors = spark.createDataFrame([("mentors", "entity", "Person", "functional", "interval", "supersede", False, None, False, 1.0)], ontology(spark).schema)
+    return rebuild.rebuild(log, rebuild.predicates(ontology(spark), mentors)).beliefs.select("statement_id", "valid_from", "valid_to", "status")
+
+
+@query("r20_r21_graph_distance", with_("edges") + "SELECT node AS id, CAST(row_number() OVER (ORDER BY depth, node) - 1 AS INTEGER) AS final_order FROM (SELECT dst AS node, 1 AS depth FROM edges WHERE src = 'n:3' UNION SELECT src, 1 FROM edges WHERE dst = 'n:3' UNION SELECT 'n:3', 0)")
+def _(spark, d):
+    nodes, _scanned = graph.traverse(fx.edges(spark, d), spark.createDataFrame([("n:3",)], "node string"), 1)
+    items = nodes.select(F.lit("q").alias("query"), F.col("node").alias("id"), F.lit(0.5).alias("salience"))
+    return rank.chain(items, lambda df: rank.graph_distance(df, nodes.withColumnRenamed("node", "id"))).select("id", "final_order")
+
+
+@query("r23_explain_lines", f"WITH {_CH}, u AS (SELECT query, kind, id, round(sum(1.0 / (61.0 + rank)), 6) AS fused, count(*) AS n FROM r GROUP BY 1, 2, 3) SELECT query, id, concat(kind, ':', id, ' fused=', printf('%.6f', fused), ' channels=', n) AS line FROM u")
+def _(spark, d):
+    return rank.rrf(rank.channel_ranks(channels(spark, d))).select("query", "id", rank.explain_line().alias("line"))
+
+
+@query("r26_statements_for_entities", with_("assertions") + "SELECT DISTINCT concat_ws(' ', subject_id, predicate, object) AS triple FROM assertions WHERE subject_id IN ('user:1', 'user:2')")
+def _(spark, d):
+    ids = spark.createDataFrame([("user:1",), ("user:2",)], "entity_id string")
+    found = rel.touching(fx.assertions(spark, d).select("subject_id", "predicate", "object").distinct(), ids)
+    return found.select(F.concat_ws(" ", "subject_id", "predicate", "object").alias("triple"))
+
+
+@query("r11_r12_expansion_channels", None)
+def _(spark, d):
+    from epistema.plans import retrieval
+
+    n = fx.table(spark, d, "nation").select(F.lit("entity").alias("kind"), F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.regexp_replace("n_name", "_", " ").alias("text"))
+    e = fx.edges(spark, d).filter("predicate = 'part_of'")
+    labels = e.select(F.col("src").alias("node"), F.col("dst").alias("label"))
+    corpus = retrieval.Corpus(n, e, labels)
+    return retrieval.channels(corpus, "nation 3", retrieval.Spec(mode="graph")).unionByName(retrieval.channels(corpus, "nation 3", retrieval.Spec(mode="community")))
+
+
+@query("r24_search_entities", "SELECT p_partkey AS id FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'ring') AND list_contains(string_split(lower(p_name), ' '), 'small')")
+def _(spark, d):
+    p = fx.table(spark, d, "part")
+    n, mean = text.size(p, text.words(F.col("p_name")))
+    return text.bm25(text.postings(p, text.words(F.col("p_name")), "p_partkey"), ["small", "ring"], n, mean, "p_partkey").select(F.col("p_partkey").alias("id"))
+
+
+@query("r28_ranking_rebuild", "SELECT 'word' AS part, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) FROM part)")
+def _(spark, d):
+    from epistema.plans.rebuild import ranking
+
+    parts = ranking(fx.table(spark, d, "part").select(F.lit("entity").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+    return parts["word"].agg(F.lit("word").alias("part"), F.count("*").alias("n"))
+
+
+@query("b6_entity_cards", "SELECT c_nationkey AS entity_id, count(*) AS n, min(c_name) AS first FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return fx.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("entity_id")).agg(F.count("*").alias("n"), F.min("c_name").alias("first")).orderBy(F.desc("n"), "entity_id").limit(10)
+
+
+@query("p8_type_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _(spark, d):
+    types = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "c_mktsegment string")
+    return fx.table(spark, d, "customer").join(types, "c_mktsegment", "left_semi").select("c_custkey")
+
+
+@query("s13_backup", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    import uuid
+
+    from epistema.sources import ledger
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/") + f"/backup-{uuid.uuid4().hex}"
+    ledger.backup({"region": fx.table(spark, d, "region")}, folder)
+    return spark.read.parquet(f"{folder}/region")
+
+
+@query("s17_settings", "SELECT 'schema_version' AS key, '10' AS value")
+def _(spark, d):
+    from epistema.sources import ledger
+
+    return ledger.ensure_version(spark, spark.createDataFrame([("schema_version", "9")], "key string, value string"), 10)
+
+
+@query("l4_cluster_summaries", None)
+def _(spark, d):
+    c = fx.table(spark, d, "conversations")
+    clusters = c.groupBy(F.col("conv_id").alias("cluster_id")).agg(F.collect_set("turn").alias("members"))
+    texts = c.groupBy(F.col("turn").alias("episode_id")).agg(F.min("text").alias("content"))
+    return pack.summaries(clusters, texts)
+
+
+@query("q3_stage_machine", None)
+def _(spark, d):
+    return spark.createDataFrame([(s, o, pack.step(s, o)) for s in ("queued", "extracted", "validated", "projected") for o in ("ok", "fail")], "stage string, outcome string, next string")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from epistema.functions.scalars import content_id
 from epistema.operators.relational import jaccard
 from epistema.operators.text import shingles
+from epistema.plans.storage import small
 from epistema.schema import TIME_MAX, TIME_MIN
 
 CLAIMS = "claims array<struct<predicate:string,subject:struct<surface:string,entity_type:string,quote:string,span:array<bigint>>,object:struct<kind:string,surface:string,entity_type:string,value:string>,polarity:string,confidence:double,valid_from:bigint,valid_to:bigint>>"
@@ -24,9 +25,9 @@ def claims(responses: DataFrame) -> DataFrame:
 
 
 def checked(rows: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Claims with the array of what is wrong with them; the ontology, a table of the vocabulary's size, is broadcast."""
+    """Claims with the array of what is wrong with them; an ontology of moderate size is broadcast."""
     defs = ontology.select(F.col("name").alias("__name"), "object_kind", "subject_types")
-    out = rows.join(F.broadcast(defs), F.col("claim.predicate") == F.col("__name"), "left")
+    out = rows.join(small(defs), F.col("claim.predicate") == F.col("__name"), "left")
     c = lambda f: F.col(f"claim.{f}")
     known = F.col("__name").isNotNull()
     entity = c("object.kind") == "entity"

@@ -3,7 +3,7 @@
 ``assertions`` have: subject_id, predicate, object, statement_id, episode_id, extractor_id, polarity,
 claimed_from, claimed_to, confidence, recorded_at, retracted_at, trust. The fold is a fixed
 sequence of shuffles on the statement and on its (subject, predicate) group, so it grows with
-the assertions; only the ontology, whose size is that of the vocabulary, is broadcast.
+the assertions; only the ontology is broadcast, and only up to a number of rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistema.operators import intervals
+from epistema.plans.storage import small
 
 GROUP = ["subject_id", "predicate"]
 #: Weights of trust tiers, and the multiplier of extractors without measurements.
@@ -97,7 +98,7 @@ def fold(assertions: DataFrame, ontology: DataFrame, at: Column | int | None = N
     counts = support(visible)
     if calibration is not None:
         counts = counts.join(calibration, "extractor_id", "left")
-    rows = held(visible).join(counts, "statement_id").join(F.broadcast(defs), "predicate")
+    rows = held(visible).join(counts, "statement_id").join(small(defs), "predicate")
     out = statuses(rows)
     return out.select(*GROUP, "statement_id", F.col("start").alias("valid_from"), F.col("end").alias("valid_to"), "status", F.round(confidence(F.col("prior"), calibration), 6).alias("confidence"), "affirm_count", "deny_count", "distinct_episodes", *(f"n_{t}" for t in TRUST))
 
