@@ -24,8 +24,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those that the best language's model can't code in fewer bits than they have."""
-    found = op3_language_id.identify(docs, op3_language_id.learn(docs))
-    return _without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > op3_language_id.REJECT_BITS)))
+    return op3_language_id.accepted(docs, op3_language_id.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm import components, kernel, packed, shared
+from llm import components, kernel, packed, shared, worker
 
 PROFILE = "doc_id long, src int, n_shingles long, f1 long, f2 long"
 SETS = "rep long, n long, prefix array<long>, tokens binary"
@@ -80,7 +80,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             n, f1, f2 = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("src"), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2)], names=["doc_id", "src", "n_shingles", "f1", "f2"])
 
-    return shared.batched(docs).mapInArrow(run, PROFILE)
+    return shared.batched(docs).mapInArrow(worker.trimmed(run), PROFILE)
 
 
 def _chosen(table: pa.Table, size: int, classes: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -114,11 +114,13 @@ def candidate_sets(docs: DataFrame, profile: DataFrame, size: int, num: int, den
 
     def send(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         _, hashes, _ = _chosen(table, size, own)
+        worker.trim()
         return packed.ask(key[0].as_py(), hashes.astype(np.uint32), hashes, buckets)
 
     def order(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         kind = np.asarray(answer.column("kind"))
         ids, hashes, bounds = _chosen(table, size, answer.filter(pa.array(kind == 0)))
+        worker.trim()
         df = packed.answered(answer.filter(pa.array(kind == 1)), hashes, buckets).astype(np.int64)
         out: tuple[list, ...] = ([], [], [], [])
         for rep, a, b in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -259,6 +261,8 @@ def _linker(num: int, den: int):
         asked = table.column("asked").to_pylist() if "asked" in table.column_names else None
         probes = {i for i, x in enumerate(asked) if x} if asked is not None else None
         found = list(SetTrie(sets, sizes, num, den).links(probes))
+        if len(ids) > 1000:
+            worker.trim()
         return pa.Table.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], schema=_LINKS)
 
     return run

@@ -60,6 +60,9 @@ def _codes(symbols: np.ndarray, n: int) -> np.ndarray:
 def train(samples: dict[str, list[bytes]]) -> Model:
     """A model of the texts of each language."""
     languages = sorted(samples)
+    if not languages:
+        none = np.zeros((0, 0), np.float32)
+        return Model([], np.zeros(256, np.uint8), none, none, np.zeros(0, np.int32), none)
     fold = np.arange(256)
     fold[65:91] += 32
     joined = np.concatenate([fold[np.frombuffer(t, np.uint8)] for x in samples.values() for t in x] or [np.zeros(0, np.int64)])
@@ -156,8 +159,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -
 def _predicted(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Index of the language of each text (the number of languages for none), score, bits a byte, and the lead in bits."""
     data, offsets = kernel.strings(texts)
-    bits = [code_lengths(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernel.slices(offsets, 1 << 18)]
-    bits = np.concatenate(bits) if m.languages else np.zeros((len(texts), 1))
+    if m.languages:
+        bits = np.concatenate([code_lengths(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernel.slices(offsets, 1 << 18)])
+    else:
+        bits = np.zeros((len(texts), 1))
     size = np.maximum(1, np.diff(offsets))
     ranked = np.sort(bits, axis=1)
     lead = ranked[:, 1] - ranked[:, 0] if bits.shape[1] > 1 else np.zeros(len(bits))
@@ -174,7 +179,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker.release()
         m: Model = broadcast.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
@@ -182,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 best, *rest = _predicted(m, batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), *map(pa.array, rest)], names=["doc_id", "lang_pred", "score", "bits_per_byte", "margin_bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(worker.trimmed(run), SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> DataFrame:
@@ -190,14 +194,13 @@ def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> D
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker.release()
         m: Model = broadcast.value
         for batch in batches:
             if batch.num_rows:
                 best, _, bits, _ = _predicted(m, batch.column("text"))
                 yield batch.filter(pa.array((best < len(m.languages)) & (bits <= most_bits)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(worker.trimmed(run), docs.schema)
 
 
 def held_out(column) -> object:

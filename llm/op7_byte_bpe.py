@@ -9,7 +9,7 @@ keeps the table up to it, and rejoins the old tokens once both tables agree.
 
 ``public_tokenizers.PATTERN`` splits texts first, and a piece that is itself a token is
 that token. White space and the words between can be split apart (``vocab.py``), so a
-worker encodes each distinct word once as long as its cache holds it.
+task encodes each distinct word once as long as its cache holds it.
 Null text is empty: no tokens. Rows are encoded alone, repeated rows and null ids too.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm import kernel, vocab
+from llm import kernel, vocab, worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -81,7 +81,7 @@ class Encoder:
             else:
                 before, right = right + 1, y[0]
         self.follows[key] = out
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 400_000:
             self.follows.clear()
         return out
 
@@ -147,36 +147,36 @@ class Prefixes:
         return self.encoder.backward(self.last)
 
 
-_WORKER: dict[str, tuple] = {}
+class Units:
+    """Encodes units: splits them by the pattern and keeps the ids of pieces seen, at most ``most`` of them."""
 
-
-def _tools(path: str, pattern: str) -> tuple[vocab.Cache, np.ndarray, np.ndarray]:
-    """What a worker keeps: its cache, and the bytes of all tokens, flat, with their offsets."""
-    if path not in _WORKER:
+    def __init__(self, encoder: Encoder, pattern: str, most: int = 150_000) -> None:
         import regex
 
-        encoder, split = Encoder(read_ranks(path)), regex.compile(pattern)
-        pieces: dict[bytes, list[int]] = {}
-
-        def encode(units: list[bytes]) -> list[list[int]]:
-            if len(pieces) > 300_000:
-                pieces.clear()
-            out = []
-            for unit in units:
-                found = []
-                for piece in split.findall(unit.decode()):
-                    raw = piece.encode()
-                    ids = pieces.get(raw)
-                    if ids is None:
-                        ids = pieces[raw] = encoder.piece(raw)
-                    found += ids
-                out.append(found)
-            return out
-
-        tokens = [encoder.bytes_of.get(i, b"") for i in range(max(encoder.bytes_of) + 1)]
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        _WORKER[path] = vocab.Cache(encode), flat, np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
-    return _WORKER[path]
+        self.encoder, self.split, self.most = encoder, regex.compile(pattern), most
+        self.pieces: dict[bytes, list[int]] = {}
+
+    def __call__(self, units: list[bytes]) -> list[list[int]]:
+        pieces, split, piece_of = self.pieces, self.split, self.encoder.piece
+        if len(pieces) > self.most:
+            pieces.clear()
+        out = []
+        for unit in units:
+            found = []
+            for piece in split.findall(unit.decode()):
+                raw = piece.encode()
+                ids = pieces.get(raw)
+                if ids is None:
+                    ids = pieces[raw] = piece_of(raw)
+                found += ids
+            out.append(found)
+        return out
+
+
+def token_bytes(encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all tokens, flat, with their offsets."""
+    tokens = [encoder.bytes_of.get(i, b"") for i in range(max(encoder.bytes_of) + 1)]
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
 
 
 def decoded(ids: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,9 +191,23 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    # a table of the vocabulary's size, built once
+    sent = docs.sparkSession.sparkContext.broadcast(Encoder(read_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, flat, at = _tools(path, pattern)
+        worker.release()
+        encoder: Encoder = sent.value
+        cache = vocab.Cache(Units(encoder, pattern))
+        flat, at = token_bytes(encoder)
+        try:
+            yield from each(batches, cache, flat, at)
+        finally:  # idle workers keep nothing of it
+            cache.clear()
+            cache.encode.pieces.clear()
+            encoder.follows.clear()
+            worker.trim()
+
+    def each(batches: Iterator[pa.RecordBatch], cache: vocab.Cache, flat: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = kernel.strings(batch.column("text"))
             for a, b in kernel.slices(offsets, vocab.SLICE_BYTES):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm import kernel, shared, vocab
+from llm import kernel, shared, vocab, worker
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 BITS, LANES, CHECKPOINT, BLOCK = 18, 512, 128, 1 << 18
@@ -116,11 +116,8 @@ class Table:
         return [self.decode(n, s, words, lanes, i * every, (i + 1) * every, at)[0] for i, (at, s) in enumerate(starts)]
 
 
-_WORKER: dict[str, vocab.Cache] = {}
-
-
 def _cache(path: str) -> vocab.Cache:
-    if path not in _WORKER:
+    def make() -> vocab.Cache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,8 +125,9 @@ def _cache(path: str) -> vocab.Cache:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _WORKER[path] = vocab.Cache(lambda units: [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
-    return _WORKER[path]
+        return vocab.Cache(lambda units: [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
+
+    return worker.keep(f"op9 {path}", make)
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -154,7 +152,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
             column = batch.column("doc_id")
             nulls = np.asarray(column.is_null()).astype(np.uint8)
             keys = np.asarray(column.fill_null(0))
-            for a, b in kernel.slices(offsets, vocab.SLICE_BYTES >> 1):
+            for a, b in kernel.slices(offsets, vocab.SLICE_BYTES):
                 own = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
                 start, stop = vocab.words(part, own)

@@ -15,8 +15,8 @@ import numpy as np
 
 from llm import kernel
 
-CAPACITY = 1_200_000
-SLICE_BYTES = 4 << 20
+CAPACITY = 1_000_000
+SLICE_BYTES = 2 << 20
 #: Code points with the Unicode property White_Space beyond ASCII, as UTF-8.
 WIDE_SPACES = [bytes(chr(c), "utf-8") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _LEADS = np.zeros(256, bool)
