@@ -165,6 +165,19 @@ def test_op5_finds_what_stands_in_documents(spark):
     assert len(got - want) <= 0.02 * len(want) + 1
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_op5_finds_an_item_that_a_third_of_documents_hold(spark, copies):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    item, group = text(24), text(80)
+    hot = [f"{group if copies else text(40)} {item} {text(0 if copies else 40)}" for _ in range(400)]
+    rows = [*enumerate(hot + [f"{text(60)} {item} {text(60)}" for _ in range(5)] + [text(120) for _ in range(795)])]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, text(30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op5_decontamination.contaminated(docs, items).collect()}
+    assert got == {(d, 1) for d in range(405)}
+
+
 def test_op5_paraphrase_and_odd_rows(spark, odd, empty, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     text = items.filter("item_id = 0").first().text.split()
