@@ -178,6 +178,23 @@ def test_op5_finds_an_item_that_a_third_of_documents_hold(spark, copies):
     assert got == {(d, 1) for d in range(405)}
 
 
+@pytest.mark.parametrize("least, most", [(5, 10), (15, 59), (100, 150), (250, 350)])
+def test_op5_finds_every_copy_of_a_full_block(spark, least, most):
+    rng = random.Random(least)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    long = [w for _, t in rows if len(w := (t or "").split()) > most]
+    items = []
+    for i in range(op5_decontamination.ITEMS):
+        words, n = rng.choice(long), rng.randint(least, most)
+        a = rng.randrange(len(words) - n)
+        items.append((i, " ".join(words[a : a + n])))
+    got = {(r.doc_id, r.item_id) for r in op5_decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = op5_decontamination.brute_force(rows, items)
+    print(least, most, len(want & got), len(want))
+    assert want and not want - got
+
+
 def test_op5_paraphrase_and_odd_rows(spark, odd, empty, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     text = items.filter("item_id = 0").first().text.split()
