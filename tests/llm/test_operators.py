@@ -212,6 +212,29 @@ def test_op5_lcs():
     assert op5_decontamination.lcs_length([], [1]) == 0
 
 
+def test_op5_tries_every_start(spark):
+    item = [f"u{i}" for i in range(40)]
+    kept = [w for i, w in enumerate(item) if i % 10 < 7]
+    fill = iter(f"z{i}" for i in range(10**6))
+    spread = [w for i, w in enumerate(kept) for w in ([w] if i == 27 else [w, next(fill)])]
+    spread[-1:-1] = [next(fill) for _ in range(60 - len(spread))]
+    rows = [(k, " ".join([next(fill) for _ in range(50)] + ["u36"] * k + spread + [next(fill) for _ in range(50)])) for k in range(30)]
+    rows += [(100 + k, " ".join([w for w in item if w not in kept][::-1])) for k in range(60)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.lcs for r in op5_decontamination.contaminated(docs, items).collect()}
+    assert got == {k: 0.7 for k in range(30)}
+
+
+def test_op5_best_span_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, most = int(rng.integers(1, 12)), int(rng.integers(2, 20))
+        item, text = rng.integers(0, most, n).astype(np.uint64), rng.integers(0, most, int(rng.integers(0, 40))).astype(np.uint64)
+        span, least = n + max(4, n // 2), int(np.ceil(op5_decontamination.LCS * n))
+        want = max((op5_decontamination.lcs_length(item.tolist(), text[i : i + span].tolist()) for i in range(len(text))), default=0)
+        assert op5_decontamination.best_span(item, text, span, least)[0] == (want if want >= least else 0)
+
+
 def test_op6_query(spark, texts):
     for r in op6_repetition.query(spark, SF).collect():
         if len(texts[r.doc_id]) < 12000:
