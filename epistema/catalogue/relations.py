@@ -281,6 +281,11 @@ def _(spark, d):
     return graph.components(rel.support_links(a))
 
 
+@query("g8_episode_clusters_all", None)
+def _(spark, d):
+    return graph.components(rel.support_links(fx.assertions(spark, d)))
+
+
 @query("u6_conservation", "SELECT CAST(0 AS BIGINT) AS lost")
 def _(spark, d):
     b = beliefs(spark, d).select("statement_id", "valid_from", "confidence")

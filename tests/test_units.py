@@ -94,6 +94,38 @@ def test_graph(spark):
     assert graph.communities(w).count() == graph.ordered_communities(w).count() == 6
 
 
+def test_episode_clusters_of_all_assertions(spark, sf):
+    import pandas as pd
+
+    def clusters(rows):
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        first = {}
+        for s, e in rows:
+            a, b = find(first.setdefault(s, e)), find(e)
+            parent[max(a, b)] = min(a, b)
+        sizes = pd.Series([find(e) for e in parent]).value_counts()
+        return {(e, find(e)) for e in parent if sizes[find(e)] > 1}
+
+    from epistema import fixtures as fx
+    from epistema.catalogue import every
+
+    # of the table itself, and of two rows in thirty, where clusters are many
+    rows = [(r.statement_id, r.episode_id) for r in fx.assertions(spark, sf).select("statement_id", "episode_id").collect()]
+    got = {(r.id, r.component) for r in every()[0]["g8_episode_clusters_all"](spark, sf).collect()}
+    assert got and got == clusters(rows)
+    few = [(s, e) for k, (s, e) in enumerate(sorted(rows)) if k % 30 < 2]
+    links = rel.support_links(spark.createDataFrame(few, "statement_id string, episode_id long"))
+    want = clusters(few)
+    assert len({c for _, c in want}) > 1 and {(r.id, r.component) for r in graph.components(links).collect()} == want
+
+
 def test_as_of(spark):
     p = spark.createDataFrame([("s", "trusted", 10, 20), ("s", "untrusted", 30, None)], "source_id string, trust string, effective_from long, effective_to long")
     rows = spark.createDataFrame([("s", t) for t in (5, 10, 19, 20, 30, 99)] + [("other", 50)], "source_id string, at long")
