@@ -2,9 +2,11 @@
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``. All of these are
 ASCII, so working on UTF-8 bytes gives the same words as working on code points.
-Hashes are 64-bit: a polynomial over random byte values, then a mixing step.
-Equal words always get equal hashes; different ones collide with a chance of
-about 2**-64 a pair, which the operators take as equality.
+Hashes are 64-bit. A word's is the sum of its bytes' random values, each times a random
+factor of its place in the word, then mixed: no structure of the bytes makes two words
+meet, as it can with powers of a base modulo 2**64. Hashes of windows join those of halves,
+mixed at each join. Equal words always get equal hashes; different ones collide with a chance
+of about 2**-62 a pair, which is taken as equality where bytes are not compared as well.
 """
 
 from __future__ import annotations
@@ -22,38 +24,10 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _inverse(odd: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(odd), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: np.uint64) -> None:
-        self.base, self.inverse = base, _inverse(base)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(10, int(n - 1).bit_length())
-            out = []
-            for b in (self.base, self.inverse):
-                p = np.full(size, b, dtype=np.uint64)
-                p[0] = 1
-                out.append(np.multiply.accumulate(p))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD_BASE)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -125,22 +99,65 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     return Words(data, start, end, span_hash(data, start, end, fold), bounds)
 
 
+class _Factors:
+    """Random odd factors by place, grown on demand."""
+
+    def __init__(self) -> None:
+        self.own = np.zeros(0, np.uint64)
+
+    def of(self, n: int) -> np.ndarray:
+        if len(self.own) < n:
+            size = 1 << max(8, int(n - 1).bit_length())
+            self.own = mix(mix(np.arange(1, size + 1, dtype=np.uint64)) ^ np.uint64(0x6A09E667F3BCC909)) | np.uint64(1)
+        return self.own[:n]
+
+
+_FACTORS = _Factors()
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    up, down = _BYTE_POWERS.of(max(1, len(data)))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[np.minimum(start, max(0, len(data) - 1))] + (end - start).astype(np.uint64))
+    """Hashes of spans, which ascend and don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    low, high = int(start[0]), int(end[-1])
+    factors = _FACTORS.of(int((end - start).max()) + 1)
+    first = (start - low).astype(np.int32)
+    place = np.arange(high - low, dtype=np.int32)
+    place -= np.repeat(first, np.diff(first, append=np.int32(high - low)))
+    np.minimum(place, np.int32(len(factors) - 1), out=place)  # bytes between spans, which count for none
+    total = (_FOLDED if fold else _BYTE)[data[low:high]]
+    total *= factors[place]
+    np.cumsum(total, out=total)
+    out = total[end - (low + 1)]
+    out[1:] -= total[first[1:] - 1]
+    out += (end - start).astype(np.uint64)
+    return mix(out)
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two runs that follow each other."""
+    x = a * np.uint64(0x9FB21C651E98DF25) + b * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xA0761D6478BD642F)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; entry i covers words i to i + size - 1. Runs over document ends are included."""
-    n = len(hashes)
-    if n < size:
+    n = len(hashes) - size + 1
+    if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _WORD_POWERS.of(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[: n - size + 1])
+    out, done, width, run = None, 0, 1, hashes
+    while True:
+        if size & width:  # the shorter parts come first
+            part = run[done : done + n]
+            out = part if out is None else _join(out, part)
+            done += width
+        width *= 2
+        if width > size:
+            return mix(out + np.uint64(size))
+        run = _join(run[: -width // 2], run[width // 2 :])
 
 
 def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:

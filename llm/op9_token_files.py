@@ -17,6 +17,8 @@ rows with a null id come first.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -116,18 +118,50 @@ class Table:
         return [self.decode(n, s, words, lanes, i * every, (i + 1) * every, at)[0] for i, (at, s) in enumerate(starts)]
 
 
-def _cache(path: str) -> vocab.Cache:
-    def make() -> vocab.Cache:
-        import os
+#: Units of small Latin letters, digits or signs without the separator: neither normal form nor pattern changes or cuts them.
+_PLAIN = re.compile(rb"(?:[\x02-\x1f!-&(-@\[-\x7f]|[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_CALL = 64
+
 
+class Library:
+    """Ids by the library: whole for any text, and for plain units by its model alone, many of them a call."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # the characters that stand for bytes in the vocabulary; a space parts units
+        self.characters = {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(1, 128) if b != 32}
+        self.characters |= {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes((0xC3, b)).decode())[0][0][1] for b in range(0x80, 0xC0)}
+        self.characters[0xC3] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str("é")[0][0][0]
+        self.model.normalizer, self.model.pre_tokenizer = None, WhitespaceSplit()
+        (self.mark,) = self.whole.encode("\x01", add_special_tokens=False).ids
+
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((_PLAIN.fullmatch(u) is not None and b"<|" not in u for u in units), bool, len(units))
+        sizes, parts = np.zeros(len(units), np.int64), np.zeros(0, np.uint32)
+        own = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        if own:
+            calls = [b" \x01 ".join(own[a : a + _CALL]).decode("latin-1").translate(self.characters) for a in range(0, len(own), _CALL)]
+            found = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(calls, add_special_tokens=False)]
+            mark = np.array([self.mark], np.uint32)
+            parts = np.concatenate([x for f in found for x in (f, mark)])
+            ends = np.flatnonzero(parts == self.mark)
+            sizes[plain] = np.diff(ends, prepend=-1) - 1
+            parts = parts[parts != self.mark]
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            found = [np.array(x.ids, np.uint32) for x in self.whole.encode_batch_fast([units[i].decode() for i in rest.tolist()], add_special_tokens=False)]
+            at = np.cumsum(sizes)[rest]
+            sizes[rest] = [len(f) for f in found]
+            parts = np.insert(parts, np.repeat(at, sizes[rest]), np.concatenate(found))
+        return parts, sizes
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return vocab.Cache(lambda units: [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
 
-    return worker.keep(f"op9 {path}", make)
+def _cache(path: str) -> vocab.Cache:
+    return worker.keep(f"op9 {path}", lambda: vocab.Cache(Library(path)))
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -155,8 +189,8 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
             for a, b in kernel.slices(offsets, vocab.SLICE_BYTES):
                 own = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
-                start, stop = vocab.words(part, own)
-                ids, size = cache(part, start, stop)
+                units, start, stop = vocab.finer(part, *vocab.words(part, own), digits_alone=True, fold=True, bar=b"<|")
+                ids, size = cache(units, start, stop)
                 bounds = vocab.per_document(start, size, own)
                 ids = np.insert(ids, bounds[1:], end)
                 if len(ids) and int(ids.max()) >= 1 << 16:
