@@ -156,21 +156,23 @@ class Units:
         self.encoder, self.split, self.most = encoder, regex.compile(pattern), most
         self.pieces: dict[bytes, list[int]] = {}
 
-    def __call__(self, units: list[bytes]) -> list[list[int]]:
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all units in turn, and how many each has."""
         pieces, split, piece_of = self.pieces, self.split, self.encoder.piece
         if len(pieces) > self.most:
             pieces.clear()
-        out = []
+        out: list[int] = []
+        sizes = []
         for unit in units:
-            found = []
+            before = len(out)
             for piece in split.findall(unit.decode()):
                 raw = piece.encode()
                 ids = pieces.get(raw)
                 if ids is None:
                     ids = pieces[raw] = piece_of(raw)
-                found += ids
-            out.append(found)
-        return out
+                out += ids
+            sizes.append(len(out) - before)
+        return np.array(out, np.uint32), sizes
 
 
 def token_bytes(encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
