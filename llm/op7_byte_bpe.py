@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ class Encoder:
         self.merged: dict[tuple[int, int], int] = {}
         self.follows: dict[int, bool] = {}
         self.usable: dict[bytes, int] = {}
+        self.ends = None
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[rank] = None
@@ -58,6 +60,10 @@ class Encoder:
                     self.parts[rank] = (left[0], first)
                     self.merged[left[0], first] = rank
                     self.usable[token] = rank
+        self.ends = ahocorasick.Automaton()
+        for token, rank in self.usable.items():
+            self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.ends.make_automaton()
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether b can stand after a: no merge over their border comes before those that make them."""
@@ -88,6 +94,19 @@ class Encoder:
     def _table(self, piece: bytes, last: list[int]) -> list[int]:
         """Last tokens of all prefixes of ``piece``; ``last`` has those of the first ones."""
         usable, follows, longest = self.usable, self.follows, self.longest
+        if self.ends is not None:  # the tokens that end at each byte, the longest first
+            done = len(last)
+            for end, (token, size) in self.ends.iter(piece.decode("latin-1"), max(0, done + 1 - longest)):
+                if end != done:
+                    continue
+                if end >= size:
+                    before = last[end - size]
+                    ok = follows.get(before << 32 | token)
+                    if not (ok or (ok is None and self.may_follow(before, token))):
+                        continue
+                last.append(token)
+                done += 1
+            return last
         for end in range(len(last) + 1, len(piece) + 1):
             for begin in range(max(0, end - longest), end):
                 token = usable.get(piece[begin:end])
@@ -215,7 +234,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             for a, b in kernel.slices(offsets, vocab.SLICE_BYTES):
                 own = offsets[a : b + 1] - offsets[a]
                 part = data[offsets[a] : offsets[b]]
-                start, end = vocab.spaced_words(part, own)
+                part, start, end = vocab.finer(part, *vocab.spaced_words(part, own))
                 ids, size = cache(part, start, end)
                 bounds = vocab.per_document(start, size, own)
                 width = np.concatenate(([0], np.cumsum(at[ids.astype(np.int64) + 1] - at[ids])))
