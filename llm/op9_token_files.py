@@ -119,7 +119,7 @@ class Table:
 
 
 #: Units of small Latin letters, digits or signs without the separator: neither normal form nor pattern changes or cuts them.
-_PLAIN = re.compile(rb"(?:[\x02-\x1f!-&(-@\[-\x7f]|[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile(rb"(?:[\x02-\x1f!-&(-@\[-\x7f]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _CALL = 64
 
 
