@@ -20,7 +20,8 @@
 Links are decided on whole sets in integers; equality of n-grams is that of 64-bit
 hashes (56 bits of hash and the frequency within a cluster). Documents without
 words or text have an empty set, no links and their own id as component; rows
-with a null id have a null component; rows that repeat an id share it.
+with a null id have a null component. An id is one node: where rows repeat an id
+with different sets, the classes of those are connected through it.
 """
 
 from __future__ import annotations
@@ -297,14 +298,31 @@ def links(sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
     return out.unionAll(first).unionAll(second)
 
 
+def repeated(profile: DataFrame) -> DataFrame:
+    """Ids of rows with different sets."""
+    marks = [f(c).alias(f"{name}_{c}") for c in ("f1", "f2") for name, f in (("least", F.min), ("most", F.max))]
+    ids = profile.filter("doc_id is not null").groupBy("doc_id").agg(*marks)
+    return ids.filter("least_f1 <> most_f1 or least_f2 <> most_f2").select("doc_id")
+
+
 def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; sets link when den * intersection >= num * union."""
     profile = shared.written(profiles(docs, size))
     sets = shared.written(candidate_sets(docs, profile, size, num, den), codec="lz4")
-    found = components.components(links(sets, num, den, block_bytes)).select(F.col("id").alias("rep"), "component")
     classes = profile.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    edges = links(sets, num, den, block_bytes)
+    again = shared.written(repeated(profile))
+    several = not again.isEmpty()
+    if several:
+        own = profile.join(again, "doc_id", "left_semi").select("doc_id", "n_shingles", "f1", "f2").distinct()
+        edges = edges.unionAll(own.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    found = components.components(edges).select(F.col("id").alias("rep"), "component")
     moved = classes.join(found, "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = profile.join(moved, ["n_shingles", "f1", "f2"], "left")
+    if several:  # rows without words, whose id others have as well
+        nodes = again.join(found, F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("rep"), F.col("component").alias("own"))
+        out = out.join(nodes, F.col("doc_id") == F.col("rep"), "left").withColumn("component_id", F.coalesce("component_id", "own", "doc_id"))
+        return out.select("doc_id", "n_shingles", "component_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
