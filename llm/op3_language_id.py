@@ -19,6 +19,7 @@ Null text is ``und`` with score 0. Rows with a null id are scored, but belong to
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,10 +34,10 @@ from llm import kernel, worker
 ORDER, SYMBOLS = 3, 48
 #: Training documents of a language, and bytes of each.
 SAMPLE, MOST_BYTES = 150, 8000
-#: Languages that are learned; the first ones in order of name if there are more.
-LANGUAGES = 200
-#: Texts that need more bits a byte than this even in the best language are in none of them; 8 is what they take unmodelled.
-REJECT_BITS = 9.0
+#: Training documents of all languages together, which share them evenly; each has one at least.
+SAMPLES = 30_000
+#: Texts that need more bits a byte than this even in the best language, which is what they take unmodelled, are in none of them.
+REJECT_BITS = 8.0
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double, margin_bits double"
 
 
@@ -143,15 +144,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -
     """A model from the rows whose crc32(doc_id) mod 4 is not 2."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, most_bytes).alias("t"))
+    # every language is learned, from fewer documents each where there are many languages
+    sample = max(1, min(sample, SAMPLES // max(1, rows.agg(F.countDistinct("lang")).first()[0])))
     # the hash up to which rows are taken is found on hashes alone: within 64 parts of a language, then over those
     ranked = rows.select("lang", "h").withColumn("part", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).filter(F.col("r") <= sample)
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
-    edges = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).orderBy("lang").limit(LANGUAGES).collect()}
-    taken = F.lit(False)
-    for lang, h in edges.items():
-        taken = taken | ((F.col("lang") == lang) & (F.col("h") <= h))
+    edges = ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()
+    # one row a language; repeats of a row are one sample
+    edge = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, r.h) for r in edges], "lang string, edge long"))
+    taken = rows.join(edge, "lang").filter("h <= edge").groupBy("lang", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list[bytes]] = {}
-    for row in rows.filter(taken).orderBy("lang", "h", "t").collect():
+    for row in taken.orderBy("lang", "h").collect():
         samples.setdefault(row.lang, []).append(bytes(row.t))
     return train(samples)
 
@@ -189,8 +192,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(worker.trimmed(run), SCHEMA)
 
 
+#: Words with a digit, such as numbers and keys, which are in no language.
+_KEYS = re.compile(r"\S*\d\S*")
+
+
 def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> DataFrame:
-    """Rows of ``docs``, as they are, whose text is in one of the languages: it has a letter, and its best code is short enough."""
+    """Rows of ``docs``, as they are, whose text is in one of the languages: it has a letter, and its best code, of words without digits, is short enough."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +205,13 @@ def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> D
         for batch in batches:
             if batch.num_rows:
                 best, _, bits, _ = _predicted(m, batch.column("text"))
-                yield batch.filter(pa.array((best < len(m.languages)) & (bits <= most_bits)))
+                kept = best < len(m.languages)
+                over = np.flatnonzero(kept & (bits > most_bits))
+                if len(over):
+                    plain = [_KEYS.sub(" ", t) for t in batch.column("text").take(pa.array(over)).to_pylist()]
+                    best, _, bits, _ = _predicted(m, pa.array(plain, pa.string()))
+                    kept[over] = (best < len(m.languages)) & (bits <= most_bits)
+                yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(worker.trimmed(run), docs.schema)
 
