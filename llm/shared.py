@@ -13,8 +13,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder: spark.checkpoint.dir, or this library's own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
+    """A new path in the shared folder, spark.checkpoint.dir; where that is unset, a local one if Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:/tmp/checkpoints"
     path = f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     return path
