@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -65,6 +66,44 @@ def test_op1_near_copies_in_blocks(spark):
     assert got == sorted(op1_ngram_jaccard.brute_force(rows), key=str)
 
 
+def test_op1_an_id_is_one_node(spark):
+    a, b, c = "a b c d", "e f g h", "k l m n"
+    rows = [(5, a), (7, a), (5, b), (3, b), (9, c), (8, c), (9, ""), (9, None), (2, ""), (2, None), (4, "only one"), (4, "only one")]
+    got = pairs(op1_ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted(op1_ngram_jaccard.brute_force(rows), key=str)
+    assert {k for i, _, k in got if i in (3, 5, 7)} == {3} and {k for i, _, k in got if i == 9} == {8}
+
+
+def thue_morse(n):
+    """Two words that powers of any base modulo 2**64 hash alike from 1,024 bytes on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_that_only_look_alike(spark, n):
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(n)
+    raw = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    w = kernel.words(raw, np.array([0, len(raw)]))
+    assert w.hash[0] != w.hash[1]
+    library = Tokenizer.from_file(public_tokenizers.path(op9_token_files.VOCABULARY))
+    cache = vocab.Cache(op9_token_files.Library(public_tokenizers.path(op9_token_files.VOCABULARY)))
+    ids, size = cache(raw, w.start, w.end)
+    want = [library.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == want[0] + want[1]
+
+
+def test_cache_looks_at_bytes_where_hashes_meet(monkeypatch):
+    monkeypatch.setattr(kernel, "span_hash", lambda data, start, end, fold=False: (end - start).astype(np.uint64))
+    cache = vocab.Cache(lambda units: (np.concatenate([np.frombuffer(u, np.uint8) for u in units]).astype(np.uint32), [len(u) for u in units]))
+    for text in (b"ab cd ab e", b"xy cd f", b"cd ab"):
+        raw = np.frombuffer(text, np.uint8)
+        start, end, _ = kernel.spans(raw, np.array([0, len(raw)]))
+        assert bytes(cache(raw, start, end)[0].astype(np.uint8)) == text.replace(b" ", b"")
+
+
 def test_op1_odd_rows(odd, empty):
     got = pairs(op1_ngram_jaccard.join(odd))
     assert len(got) == len(ODD)
@@ -77,15 +116,15 @@ def test_op1_odd_rows(odd, empty):
 def test_op2_query(spark, texts):
     for r in op2_pii.query(spark, SF).collect():
         assert tuple(r[1:6]) == op2_pii.brute_force(texts[r.doc_id])
-        assert set(filter(None, op2_pii.joined_text(texts[r.doc_id]).split(","))) <= set(r.spans.split(",")) if hasattr(op2_pii, "joined_text") else True
+        base = [s for s in r.spans.split(",") if s][: sum(r[1:5])] if len(r.spans.split(",")) == sum(r[1:5]) else None
+        if base is not None:  # nothing was added
+            assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
 def test_op2_odd_rows_and_added_spans(spark, docs, odd, empty):
     model = op2_pii.learn(docs)
     hard = [(i, t) for i, t in ODD] + [(20, "7" * 30000 + "+" + "1 " * 9000), (21, "a@b" + ".c" * 9000 + "_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 000255.1.1.1")]
     out = op2_pii.find(spark.createDataFrame(hard, "doc_id long, text string"), model).select("text", op2_pii.joined(F.col("base")).alias("b")).collect()
-    import hashlib
-
     assert len(out) == len(hard)
     for r in out:
         assert hashlib.sha256(r.b.encode()).hexdigest() == op2_pii.brute_force(r.text)[4]
@@ -126,6 +165,25 @@ def test_op3_code_length_is_that_of_the_rule():
     assert got[1] > 4 * np.log2(op3_language_id.SYMBOLS) * 0.9
 
 
+def test_op3_rejects_what_is_in_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    odd = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)), "12 34"]
+    more = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in op3_language_id.accepted(more, op3_language_id.learn(docs)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+    model = op3_language_id.learn(docs)
+    keys = spark.createDataFrame([(1, 'the reason token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" 8316107434564120')], "doc_id long, text string")
+    assert op3_language_id.accepted(keys, model).count() == 1
+
+
+def test_op3_learns_every_language_and_one_row_of_repeats(spark, monkeypatch):
+    monkeypatch.setattr(op3_language_id, "train", lambda samples: samples)
+    rows = [(i, f"{chr(97 + i % 26)}{i} " * 20, f"l{i:03}") for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    samples = op3_language_id.learn(spark.createDataFrame(rows * 3, "doc_id long, text string, lang string"))
+    assert samples == {r[2]: [r[1].encode()] for r in rows} and len(rows) > 200
+
+
 def test_op3_odd_rows(docs, odd, empty):
     got = pairs(op3_language_id.identify(odd, op3_language_id.learn(docs)))
     by = {i: p for i, p, *_ in got if i is not None}
@@ -330,6 +388,22 @@ def test_op9_query(spark, texts):
     assert pairs(op9_token_files.query(spark, SF)) == sorted(want, key=str)
 
 
+def test_op9_special_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(op9_token_files.VOCABULARY))
+    rng = random.Random(9)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", "|", "A", "don't", "é", "É", "×", "12", " ", "  ", "\n", "日本", "e\u0301", "!?", "\x1c", "ß"]
+    rows = [(0, "hello <|endoftext|> world"), (1, "hello<|endoftext|>world <|endoftext|><|endoftext|>"), *((2 + i, "".join(rng.choices(marks, k=rng.randrange(12)))) for i in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    raw = op9_token_files.tokenized(docs, public_tokenizers.path(op9_token_files.VOCABULARY), 2).filter("block >= 0").orderBy("shard", "block").collect()
+    ids = np.concatenate([np.frombuffer(r.low, np.uint8) | np.frombuffer(r.high, np.uint8).astype(np.uint32) << 8 for r in raw])
+    lengths = np.concatenate([np.frombuffer(r.lengths, np.uint32) for r in raw]).astype(np.int64)
+    ends = np.cumsum(lengths)
+    for (_, t), a, b in zip(rows, ends - lengths, ends, strict=True):
+        assert ids[a:b].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_op9_odd_rows_and_damage(spark, odd, empty, tmp_path):
     op9_token_files.write(odd, f"file:{tmp_path}/a")
     got = op9_token_files.read(spark, f"file:{tmp_path}/a").orderBy("start").collect()
