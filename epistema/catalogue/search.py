@@ -460,9 +460,10 @@ def _(spark, d):
 def _(spark, d):
     import uuid
 
+    from epistema.plans import storage
     from epistema.streaming import ingest
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = storage.shared_root(spark) + f"/stream-{uuid.uuid4().hex}"
     a = fx.assertions(spark, d)
     a.withColumn("batch", F.col("assertion_id") % 3).write.partitionBy("batch").parquet(f"{root}/in")
     stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in").select(a.columns)
@@ -555,9 +556,10 @@ def _(spark, d):
 def _(spark, d):
     import uuid
 
+    from epistema.plans import storage
     from epistema.sources import ledger
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/") + f"/backup-{uuid.uuid4().hex}"
+    folder = storage.shared_root(spark) + f"/backup-{uuid.uuid4().hex}"
     ledger.backup({"region": fx.table(spark, d, "region")}, folder)
     return spark.read.parquet(f"{folder}/region")
 

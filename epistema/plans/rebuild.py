@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epistema.functions.scalars import content_id
 from epistema.operators import extract, fold, redact, temporal, text
+from epistema.operators import relational as rel
 from epistema.schema import TIME_MAX, TIME_MIN
 
 
@@ -49,8 +50,11 @@ def merges(log: DataFrame) -> DataFrame:
 
 
 def predicates(ontology: DataFrame, registered: DataFrame | None = None) -> DataFrame:
-    """The ontology with registered predicates, the last of each name."""
-    return ontology if registered is None else ontology.join(registered.select("name"), "name", "left_anti").unionByName(registered.select(ontology.columns))
+    """The ontology with registered predicates, the last of each name by ``seq``; without that column, names that repeat must be equal rows."""
+    if registered is None:
+        return ontology
+    registered = rel.latest(registered, ["name"], "seq") if "seq" in registered.columns else registered.distinct()
+    return ontology.join(registered.select("name"), "name", "left_anti").unionByName(registered.select(ontology.columns))
 
 
 def rebuild(log: DataFrame, ontology: DataFrame, responses: DataFrame | None = None, redacted: DataFrame | None = None) -> Truth:

@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_root(spark) -> str:
+    """spark.checkpoint.dir; where that is unset, a local folder if Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:/tmp/checkpoints"
+    return root.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The table written to the folder of spark.checkpoint.dir and read again."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -184,3 +184,13 @@ def test_text(spark):
     assert one(spark, text.shingles(F.lit(""))) == []
     assert one(spark, text.grams(F.lit("ab"))) == []
     assert one(spark, text.similarity(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_the_last_registration_of_a_predicate_counts(spark):
+    from epistema.plans import rebuild
+
+    base = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "name string, weight double")
+    more = spark.createDataFrame([("b", 2.0, 1), ("c", 3.0, 2), ("b", 4.0, 3)], "name string, weight double, seq long")
+    assert sorted(tuple(r) for r in rebuild.predicates(base, more).collect()) == [("a", 1.0), ("b", 4.0), ("c", 3.0)]
+    again = more.filter("seq = 2").drop("seq")
+    assert rebuild.predicates(base, again.unionAll(again)).count() == 3
