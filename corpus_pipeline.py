@@ -23,7 +23,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and those that the best language's model can't code in fewer bits than they have."""
+    """Drops texts without a letter, and those whose words without digits the best language's model can't code in fewer bits than they have."""
     return op3_language_id.accepted(docs, op3_language_id.learn(docs))
 
 
