@@ -3,15 +3,19 @@
 The base finds assignments, access keys and long hexadecimal runs by pattern. The
 field tags every word of a text as beginning, being inside or outside a secret from
 its shape (length, digits, case, signs, a key word in it), the words on both sides, and
-how much of the file looks like settings. It is trained by maximum likelihood on
-windows around the base finds and around unremarkable words of at most ``SAMPLE``
-documents (those of the least hash), where the field sees shapes and neighbours but
-not the patterns. Decoding is by Viterbi; words whose score for "outside" exceeds the
+a key word up to ``BACK`` words before, and how much of the file looks like settings. It is trained by maximum likelihood on
+windows around the base finds and around unremarkable words of about ``SAMPLE``
+documents, chosen by hash, where the field sees shapes and neighbours but
+not the patterns. As all these finds are the base's own, each is written anew as well (``rewritten``): after the
+phrases ``LEADS`` with values of random letters and digits, as no base format takes them, and, to be left alone, plain words
+after the same phrases and random values (names of files, places, dates, numbers) after none. Decoding is by Viterbi; words whose score for "outside" exceeds the
 others by more than any change of transitions could make up are outside on
 every best path, so only the stretches between them are decoded.
 
-Tagged spans that touch no base span are added as kind ``crf``. Null or empty text
-has no secrets. Rows are scanned alone, repeated rows and null ids too.
+Tagged spans that touch no base span are added as kind ``crf``, without quotes and commas around them, if they
+hold a letter or sign beside digits and at least ``SHORTEST`` characters. Null or empty text
+has no secrets. Rows are scanned alone, repeated rows and null ids too; an empty table gives no rows; a very long text
+is a slice of its own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KEY_WORD = re.compile(rb"pass|pwd|secret|token|key|auth|credential|bearer", re.IGNORECASE)
 #: Documents to learn from, words on each side of a window's middle, windows in all.
 SAMPLE, AROUND, WINDOWS = 4000, 6, 6000
+#: Words back to a key word; characters of an added secret; rewritten windows of each kind.
+BACK, SHORTEST, REWRITTEN = 4, 8, 2000
+LEADS = ("password is", "the password is", "secret key is", "token is", "api key:", "auth", "Authorization: Bearer", "bearer", "credentials are", "pwd:", "login secret", "key", "token", "secret", "password", "use the key")
+PLAIN = ("https://example.com/{0}/page", "/usr/share/{0}/file.txt", "{1}-{2}-{3}", "v{1}.{2}.{3}", "{4}", "{4}{4}", "Report_{1}.pdf", "#{1}{2}", "{5}", "{0}_{0}", "{1}:{2}:{3}", "({1})", "Internationalisation", "re-establishing", "state-of-the-art", "{0}.{0}()")
+WORDS = ("required", "changed", "expired", "necessary", "important,", "for", "the", "of", "which", "management", "authentication", "administrator.", "different", "ceremony", "holder", "ring", "generation", "invalid")
 HEX = np.zeros(256, bool)
 HEX[[*range(48, 58), *range(97, 103)]] = True
 _CLASS = np.zeros(256, np.uint8)  # 1 digit, 2 lower case, 3 upper case, 4 sign, 5 other
@@ -80,6 +89,7 @@ def features(w: kernel.Words) -> Features:
     share = np.where(digits == 0, 0, np.where(4 * digits < length, 1, np.where(2 * digits < length, 2, 3)))
     case = np.where(upper == 0, 0, np.where(lower == 0, 1, np.where(upper == 1, 2, 3)))
     key = np.zeros(n, bool)
+    near = np.zeros(n, bool)
     for m in KEY_WORD.finditer(w.data.tobytes()):
         at = int(np.searchsorted(w.start, m.start(), side="right")) - 1
         if at >= 0:
@@ -89,10 +99,12 @@ def features(w: kernel.Words) -> Features:
     mark = np.where(np.isin(last, [58, 61]), 2, np.where(np.isin(w.data[w.start] if n else last, [34, 39, 60]), 1, 0))
     side = (mark * 2 + key) * 3 + np.minimum(2, np.maximum(0, size - 1))
     doc = w.doc
-    before, after = np.full(n, SIDE), np.full(n, SIDE)
+    before, after = np.full(n, 2 * SIDE), np.full(n, SIDE)
+    for back in range(1, min(BACK, n - 1) + 1):
+        near[back:] |= key[:-back] & (doc[back:] == doc[:-back])
     if n:
         same = doc[1:] == doc[:-1]
-        before[1:][same] = side[:-1][same]
+        before[1:][same] = side[:-1][same] + SIDE * near[1:][same]
         after[:-1][same] = side[1:][same]
     set_like = np.bincount(doc, weights=(mark == 2) | (signs * 3 > length), minlength=len(w.bounds) - 1)
     words = np.maximum(1, np.diff(w.bounds))
@@ -131,7 +143,7 @@ _BARRED = np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]])
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.2, penalty: float = 1e-4) -> Field:
     """Maximum likelihood on windows: x has four feature numbers a word (own < 0: no word), y the tags."""
-    sizes = (OWN, SIDE + 1, SIDE + 1, FILE)
+    sizes = (OWN, 2 * SIDE + 1, SIDE + 1, FILE)
     w = [np.zeros((s, STATES)) for s in sizes] + [np.zeros((STATES, STATES))]
     # a start that holds most words to be outside
     w[0][:, 0] = 1.0
@@ -237,16 +249,64 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
                     inside[inside] = doc[at[inside]] == doc[i]
                     x, t = np.full((width, 4), -1, np.int16), np.zeros(width, np.int8)
                     x[inside], t[inside] = f[at[inside]], y[at[inside]]
-                    out.append((x.tobytes() + t.tobytes(), int(y[i] == 1), int(rank[i].view(np.int64))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], names=["x", "positive", "rank"])
-
-    windows = rows.select("text").mapInArrow(run, "x binary, positive int, rank long").distinct()
-    got = []
+                    sides = [at[inside & (at < i)], at[inside & (at > i)]]
+                    plain = y[i] == 0 and not t.any() and (w.end - w.start)[at[inside]].max() <= 64
+                    words = [b"\0".join(w.data[w.start[j] : w.end[j]].tobytes() for j in side) for side in sides] if plain else [None, None]
+                    out.append((x.tobytes() + t.tobytes(), int(y[i] == 1), int(rank[i].view(np.int64)), *words))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["x", "positive", "rank", "before", "after"])
+
+    windows = rows.select("text").mapInArrow(run, "x binary, positive int, rank long, before binary, after binary").distinct()
+    got, around = [], []
     for side in (1, 0):
-        got += [bytes(r.x) for r in windows.filter(F.col("positive") == side).orderBy("rank", "x").limit(WINDOWS // 2).select("x").collect()]
+        for r in windows.filter(F.col("positive") == side).orderBy("rank", "x", "before", "after").limit(WINDOWS // 2).select("x", "before", "after").collect():
+            got.append(bytes(r.x))
+            if r.before is not None:
+                around.append((bytes(r.before).split(b"\0") if r.before else [], bytes(r.after).split(b"\0") if r.after else []))
     x = np.array([np.frombuffer(g[: width * 8], np.int16).reshape(width, 4) for g in got], np.int64).reshape(-1, width, 4)
     y = np.array([np.frombuffer(g[width * 8 :], np.int8) for g in got], np.int64).reshape(-1, width)
-    return train(x, y)
+    more_x, more_y = rewritten(around)
+    return train(np.concatenate((x, more_x)), np.concatenate((y, more_y)))
+
+
+def _value(rng: np.random.Generator) -> str:
+    """A random secret that no base format takes."""
+    kind, size = int(rng.integers(5)), int(rng.integers(16, 49))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    both = letters + letters.lower() + "0123456789"
+    alphabet = (both, letters + "0123456789", both + "-_", both + "+/", both + "!@$%^&*")[kind]
+    out = "".join(rng.choice(list(alphabet), size=size if kind < 4 else size // 2))
+    return ("", "", "sk_", "ghp_", "")[int(rng.integers(5))] + out[:-2] + "7a"
+
+
+def rewritten(windows: list[tuple[list[bytes], list[bytes]]], n: int = REWRITTEN, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (features, tags) with secrets in other writings, and with what only looks like them, between given words before and after."""
+    rng, width = np.random.default_rng(seed), 2 * AROUND + 1
+    x, y = np.full((2 * n, width, 4), -1, np.int64), np.zeros((2 * n, width), np.int64)
+    if not windows:
+        return x[:0], y[:0]
+    for i in range(2 * n):
+        before, after = windows[int(rng.integers(len(windows)))]
+        lead, secret = LEADS[int(rng.integers(len(LEADS)))].encode(), i < n
+        if secret:
+            middle = _value(rng).encode()
+            quote = (b"", b"", b'"', b"'")[int(rng.integers(4))]
+            middle = quote + middle + quote + (b"", b"", b".", b",")[int(rng.integers(4))]
+        elif rng.integers(2):
+            middle = WORDS[int(rng.integers(len(WORDS)))].encode()
+        else:
+            number = [int(v) for v in rng.integers(0, 3000, 3)]
+            form = PLAIN[int(rng.integers(len(PLAIN)))]
+            lead, middle = b"", form.format("".join(rng.choice(list("abcdefghijklmnop"), size=int(rng.integers(4, 12)))), *number, int(rng.integers(10**9, 10**16)), ("Example", "COMPANY", "iPhone", "McDonald")[int(rng.integers(4))]).encode()
+        parts = [*before, *lead.split(), middle, *after]
+        at = len(before) + len(lead.split())
+        raw = np.frombuffer(b" ".join(parts), np.uint8)
+        f = np.stack(features(kernel.words(raw, np.array([0, len(raw)]))), 1)
+        places = np.arange(at - AROUND, at + AROUND + 1)
+        inside = (places >= 0) & (places < len(parts))
+        x[i][inside] = f[places[inside]]
+        if secret:
+            y[i, AROUND] = 1
+    return x, y
 
 
 def _within(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -258,6 +318,22 @@ def _within(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]
     return out
 
 
+_QUOTES = b"\"'`<>()[]{},.;:"
+
+
+def _trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without quotes and commas around them; those that are too short or of digits alone are left out."""
+    out = []
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        raw = data[s:e].tobytes()
+        head = len(raw) - len(raw.lstrip(_QUOTES))
+        raw = raw.strip(_QUOTES)
+        if len(raw) >= SHORTEST and not raw.isdigit():
+            out.append((s + head, s + head + len(raw)))
+    out = np.array(out, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """One row per document: numbers of finds by kind and all spans in code points, end exclusive."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
@@ -275,6 +351,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                     while stop[i] < len(tags) and tags[stop[i]] == 2:
                         stop[i] += 1
                 s, e = w.start[start], w.end[stop - 1] if len(start) else w.end[:0]
+                s, e = _trimmed(w.data, s, e)
                 if len(s) and len(spans[0]):
                     order = np.argsort(spans[0], kind="stable")
                     reach = np.maximum.accumulate(spans[1][order])
