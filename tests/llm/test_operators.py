@@ -116,9 +116,49 @@ def test_op1_odd_rows(odd, empty):
 def test_op2_query(spark, texts):
     for r in op2_pii.query(spark, SF).collect():
         assert tuple(r[1:6]) == op2_pii.brute_force(texts[r.doc_id])
-        base = [s for s in r.spans.split(",") if s][: sum(r[1:5])] if len(r.spans.split(",")) == sum(r[1:5]) else None
-        if base is not None:  # nothing was added
-            assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
+        spans = [s for s in r.spans.split(",") if s]
+        assert len(spans) == sum(r[1:5]) + r.n_added
+        if not r.n_added:
+            assert hashlib.sha256(r.spans.encode()).hexdigest() == r.base_sha256
+
+
+def test_op2_adds_other_writings_and_no_lookalikes(spark):
+    model = op2_pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = np.random.default_rng(5)
+    planted = []
+    for i in range(60):
+        a, b, c, d = (int(v) for v in rng.integers(100, 250, 4))
+        planted += [("email", f"user{a}.x [at] mail{b % 10} [dot] example [dot] org"), ("email", f"u{a}(at)host{b}(dot)net"), ("phone", f"1 ({a}) 555-{1000 + b}"), ("ip", f"{a}[.]{b}[.]{c}[.]{d}"), ("ip", f"2001:db8:{a}:{b}:{c}:{d}:0:1")]
+        digits = "".join(str(int(v)) for v in rng.integers(0, 10, 15)) + "0"
+        total = sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(digits)))
+        good = digits[:-1] + str((-total) % 10)
+        bad = digits[:-1] + str((1 - total) % 10)
+        planted += [("card", "/".join(good[k : k + 4] for k in (0, 4, 8, 12))), (None, "/".join(bad[k : k + 4] for k in (0, 4, 8, 12))), (None, f"on 2024-11-{10 + i % 20} at 12:30:{i % 50 + 10} v1.{i}.3")]
+    rows = [(i, f"word beside {t} word") for i, (_, t) in enumerate(planted)]
+    out = op2_pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    right = sum(planted[r.doc_id][0] in [s.kind for s in r.added] for r in out if planted[r.doc_id][0])
+    added = sum(len(r.added) for r in out)
+    assert right >= 0.9 * sum(k is not None for k, _ in planted) and right >= 0.9 * added
+
+
+def test_op2_scores_are_those_of_the_trees(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (200, len(op2_pii.FEATURES))).astype(float)
+    m = op2_pii.boost(x, ((x[:, 0] + x[:, 3]) > 6) * 3.0, np.full(200, 3.0), np.arange(200) % 5 == 4)
+    want = m.start + sum(op2_pii.RATE * op2_pii._value(t, x) for t in m.trees)
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], ", ".join(["i int"] + [f"`{f}` int" for f in op2_pii.FEATURES]))
+    score = F.lit(m.start)
+    for t in m.trees:
+        score = score + op2_pii.RATE * op2_pii._sql(t, F.col)
+    got = [r.s for r in df.select("i", score.alias("s")).orderBy("i").collect()]
+    assert np.allclose(got, want)
+
+
+def test_op2_spans_over_several_blocks(spark):
+    text = "ü 1.2.3.4 a@b.co " * (op2_pii.BLOCK + 40)
+    none = {k: op2_pii.Boosted(-20.0, [], np.inf) for k in op2_pii.KINDS}
+    r = op2_pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), none).select(op2_pii.joined(F.col("base")).alias("b")).first()
+    assert hashlib.sha256(r.b.encode()).hexdigest() == op2_pii.brute_force(text)[4]
 
 
 def test_op2_odd_rows_and_added_spans(spark, docs, odd, empty):
@@ -435,6 +475,22 @@ def test_op10_field_knows_secrets_it_was_not_shown(spark, docs):
     assert right >= 0.9 * (right + missed) and right >= 0.9 * (right + wrong)
 
 
+def test_op10_adds_other_writings_and_no_lookalikes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = op10_secrets.learn(docs)
+    clean = [r.text for r in docs.filter("length(text) between 200 and 5000").select("text").limit(200).collect()]
+    rng, rows = np.random.default_rng(99), []
+    for i, text in enumerate(clean):
+        words, value = text.split()[:40], op10_secrets._value(rng)
+        lead = op10_secrets.LEADS[int(rng.integers(len(op10_secrets.LEADS)))]
+        rows.append((i, " ".join([*words[:20], lead, value, *words[20:]]), value))
+    out = op10_secrets.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), field).collect()
+    right = sum(rows[r.doc_id][1][s.start : s.end] == rows[r.doc_id][2] for r in out for s in r.spans if s.kind == "crf")
+    assert right >= 0.9 * len(rows) and right >= 0.9 * sum(r.n_crf for r in out)
+    other = ["the password is required", "see https://docs.example.com/Reference/API_Index.html for the token list", "order 9807915762804490 of 2024-11-26", "the secret of state-of-the-art ceremony"]
+    assert sum(r.n_crf for r in op10_secrets.scan(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), field).collect()) == 0
+
+
 def test_op10_viterbi_and_pruning():
     rng = np.random.default_rng(1)
     for _ in range(30):
