@@ -18,6 +18,7 @@ from llm import (
     op8_toxicity,
     op9_token_files,
     op10_secrets,
+    op11_piece_ids,
 )
 
 QUERIES = {
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.query,
     "op9_token_files": op9_token_files.query,
     "op10_secrets": op10_secrets.query,
+    "op11_piece_ids": op11_piece_ids.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
