@@ -19,6 +19,7 @@ from llm import (
     op9_token_files,
     op10_secrets,
     op11_piece_ids,
+    op12_zorder_layout,
 )
 
 QUERIES = {
@@ -33,6 +34,7 @@ QUERIES = {
     "op9_token_files": op9_token_files.query,
     "op10_secrets": op10_secrets.query,
     "op11_piece_ids": op11_piece_ids.query,
+    "op12_zorder_layout": op12_zorder_layout.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op12_zorder_layout": op12_zorder_layout.sql()}
