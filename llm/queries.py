@@ -1,6 +1,6 @@
 """Queries of this package by name.
 
-None has SQL: each result holds something that DuckDB can't compute from the tables (hashes over
+Those without SQL hold something that DuckDB can't compute from the tables (hashes over
 graph components, trained models, tokenizers), so tests/llm compares each with a brute-force
 version, an exact round trip or held-out rows instead.
 """
@@ -20,6 +20,7 @@ from llm import (
     op10_secrets,
     op11_piece_ids,
     op12_zorder_layout,
+    op13_divergence,
 )
 
 QUERIES = {
@@ -35,6 +36,10 @@ QUERIES = {
     "op10_secrets": op10_secrets.query,
     "op11_piece_ids": op11_piece_ids.query,
     "op12_zorder_layout": op12_zorder_layout.query,
+    "op13_divergence": op13_divergence.query,
 }
 
-ORACLE_SQL = {"op12_zorder_layout": op12_zorder_layout.sql()}
+ORACLE_SQL = {
+    "op12_zorder_layout": op12_zorder_layout.sql(),
+    "op13_divergence": op13_divergence.SQL,
+}
