@@ -1,20 +1,23 @@
-"""Language identification by prediction by partial matching.
-
-For each language the contexts of up to three bytes of its training texts form a
-tree of symbol counts. A symbol is coded in the longest context known, with
-probability count / (n + d) for n symbols and d distinct ones seen there; a symbol
-not seen there costs an escape of d / (n + d) and is coded one byte shorter, down to
-an even choice. After training nothing is updated, so the code length of a text
-is a sum of table entries: it is exact, and the same wherever the text is scored.
-
-Bytes are folded first: A-Z to a-z, and all bytes but the most frequent ``SYMBOLS - 1``
-of the training sample share one symbol, which costs an even share of the rest.
-The language with the shortest code wins. Texts without a letter are ``und``.
-
-Learning reads at most ``sample`` documents of each language, those of the
-least hash of id and text, ``most_bytes`` of each, which bounds what reaches the driver;
-scoring reads whole texts. lang, source and doc_id take no part in it.
-Null text is ``und`` with score 0. Rows with a null id are scored, but belong to no fold.
+"""Language identification by prediction by partial matching over bytes.
+
+For each language the contexts of up to three bytes of its training texts form a tree of counts, of the contexts that
+occur only. A byte is coded in the longest context known, with probability count / (n + d) for n bytes and d distinct
+ones seen there; a byte not seen there costs an escape of d / (n + d) and is coded in the context one byte shorter, down
+to an even choice among 256. Three spaces stand before each text, and its end costs the escapes from its last contexts.
+After training nothing is updated, so the code length of a text is a sum of table entries: it is exact, and the same
+wherever the text is scored. Bytes are folded first: A-Z to a-z.
+
+The tables hold, for a run of one to four bytes and a language that has seen it, by how much it changes the code length:
+what coding its last byte there saves against the shorter run, and the escape that it costs as a context. A language's
+code length is then a base rate for each byte plus the entries of the runs that end there, and takes no room for runs that
+the language has not seen. Up to ``DENSE`` languages the entries of a run and its shorter ones are summed beforehand.
+
+The language with the shortest code wins, the first by name of equal ones. Texts without a letter are ``und`` with score 0,
+null and empty ones too, and so are all texts if nothing was learned. Learning reads at most ``sample`` documents of each
+language, those of the least hash of id and text, and of each up to ``WINDOWS`` windows spread evenly over the text,
+``most_bytes`` in all, which bounds what reaches the driver; repeats of a row count once. Scoring reads whole texts in blocks,
+so a text of any length takes the memory of a block beside itself. lang, source and doc_id take no part in it. Rows with a
+null id are scored, but belong to no fold. Columns with other names are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,109 +32,195 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm import kernel, worker
+from llm import kernel, vocab, worker
 
-ORDER, SYMBOLS = 3, 48
-#: Training documents of a language, and bytes of each.
-SAMPLE, MOST_BYTES = 150, 8000
+ORDER = 3
+#: Training documents of a language, and bytes of each, taken in so many windows.
+SAMPLE, MOST_BYTES, WINDOWS = 150, 8000, 8
 #: Training documents of all languages together, which share them evenly; each has one at least.
 SAMPLES = 30_000
-#: Texts that need more bits a byte than this even in the best language, which is what they take unmodelled, are in none of them.
-REJECT_BITS = 8.0
+#: Languages up to which tables have a place for each language.
+DENSE = 32
+BLOCK = 1 << 17
+#: A text is in no language if it takes more bits than RATE a byte, as it does unmodelled, and ALLOWED more for its whole length:
+#: escapes dominate short texts, which is no sign of another language.
+RATE, ALLOWED = 8.0, 120.0
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double, margin_bits double"
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_SPACES = np.full(ORDER, 32, np.uint8)
+
+
+class Level(NamedTuple):
+    """Entries of runs of one length: for run i, those from start[i] to start[i + 1]."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
 
 
 class Model(NamedTuple):
     languages: list[str]
-    symbol: np.ndarray  #: of each byte
-    short: np.ndarray  #: code lengths after two symbols, [symbols ** 3, languages]
-    escape: np.ndarray  #: cost of leaving a context of three symbols, [symbols ** 3, languages]
-    row: np.ndarray  #: row of ``long`` for four symbols, or -1
-    long: np.ndarray  #: code lengths after three symbols, where some language has seen them
-
-
-def _codes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of all runs of n symbols."""
-    out = np.zeros(max(0, len(symbols) - n + 1), np.int64)
-    for k in range(n):
-        out = out * SYMBOLS + symbols[k : len(symbols) - n + 1 + k]
+    base: np.ndarray  #: bits a byte that is in no table
+    once: np.ndarray  #: bits of a text besides those of its bytes
+    levels: list[Level]  #: of one to four bytes
+
+
+def _runs(data: np.ndarray, n: int) -> np.ndarray:
+    """The runs of n bytes that end at each place from ORDER on, as numbers."""
+    out = np.zeros(len(data) - ORDER, np.uint32)
+    for back in range(n - 1, -1, -1):
+        out = (out << np.uint32(8)) | data[ORDER - back : len(data) - back]
     return out
 
 
+def _entries(texts: list[bytes]) -> tuple[float, float, list[tuple[np.ndarray, np.ndarray]]]:
+    """Base rate, bits of a text, and runs with their values for each length, of one language."""
+    own = [np.concatenate((_SPACES, _FOLD[np.frombuffer(t, np.uint8)])) for t in texts]
+    grams, costs, escapes = [], [], []
+    for n in range(1, ORDER + 2):
+        run, count = np.unique(np.concatenate([_runs(t, n) for t in own] or [np.zeros(0, np.uint32)]), return_counts=True)
+        context, at = np.unique(run >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(at, weights=count, minlength=len(context)), np.bincount(at, minlength=len(context))
+        grams.append(run)
+        costs.append(-np.log2(count / (total + kinds)[at]) if len(run) else np.zeros(0))
+        escapes.append((context, -np.log2(kinds / (total + kinds))))
+    leave = float(escapes[0][1][0]) if len(grams[0]) else 0.0
+    base = leave + 8.0
+    out = []
+    below_runs, below_costs = np.zeros(1, np.uint32), np.array([8.0])
+    for n, (run, cost) in enumerate(zip(grams, costs, strict=True)):
+        short = (run & np.uint32((1 << 8 * n) - 1)) if n else np.zeros(len(run), np.uint32)
+        lower = below_costs[np.searchsorted(below_runs, short)] if len(run) else np.zeros(0)
+        context, escape = escapes[n]
+        saved = cost - lower - (escape[np.searchsorted(context, run >> np.uint32(8))] if len(run) else 0)
+        if n < ORDER:
+            after, price = escapes[n + 1]
+            keys = np.union1d(run, after)
+            value = np.zeros(len(keys))
+            value[np.searchsorted(keys, run)] += saved
+            value[np.searchsorted(keys, after)] += price
+        else:
+            keys, value = run, saved
+        out.append((keys, value))
+        below_runs, below_costs = run, cost
+    # contexts of the spaces before a text; runs of them that occur are in the tables of their lengths
+    once = leave
+    for n in range(1, ORDER + 1):
+        context, price = escapes[n]
+        at = np.flatnonzero(context == int.from_bytes(b" " * n, "big"))
+        once += float(price[at[0]]) if len(at) else 0.0
+    return base, once, out
+
+
 def train(samples: dict[str, list[bytes]]) -> Model:
     """A model of the texts of each language."""
     languages = sorted(samples)
     if not languages:
-        none = np.zeros((0, 0), np.float32)
-        return Model([], np.zeros(256, np.uint8), none, none, np.zeros(0, np.int32), none)
-    fold = np.arange(256)
-    fold[65:91] += 32
-    joined = np.concatenate([fold[np.frombuffer(t, np.uint8)] for x in samples.values() for t in x] or [np.zeros(0, np.int64)])
-    counts = np.bincount(joined, minlength=256)
-    frequent = [b for b in np.argsort(-counts, kind="stable")[: SYMBOLS - 1] if counts[b]]
-    symbol = np.zeros(256, np.uint8)
-    symbol[frequent] = np.arange(1, len(frequent) + 1)
-    symbol = symbol[fold]
-    other = np.log2(max(1, 256 - len(frequent) - 26))
-    size = [SYMBOLS**k for k in range(5)]
-    tables, escapes, seen = [], [], []
-    for language in languages:
-        texts = [symbol[np.frombuffer(t, np.uint8)].astype(np.int64) for t in samples[language]]
-        cost = np.full(SYMBOLS, np.log2(SYMBOLS))  # the even choice
-        for order in range(ORDER):
-            count = np.bincount(np.concatenate([_codes(t, order + 1) for t in texts] or [np.zeros(0, np.int64)]), minlength=size[order + 1]).reshape(-1, SYMBOLS)
-            n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            below = cost.reshape(1, SYMBOLS) if order == 0 else np.tile(cost.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out = np.where(d > 0, -np.log2(d / (n + d)), 0.0)
-                cost = np.where(count > 0, -np.log2(count / (n + d)), out + below)
-        tables.append(cost.reshape(-1))
-        grams, count = np.unique(np.concatenate([_codes(t, 4) for t in texts] or [np.zeros(0, np.int64)]), return_counts=True)
-        context = grams // SYMBOLS
-        n, d = np.bincount(context, weights=count, minlength=size[3]), np.bincount(context, minlength=size[3])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escapes.append(np.where(d > 0, -np.log2(d / (n + d)), 0.0))
-        seen.append((grams, -np.log2(count / (n + d)[context])))
-    short, escape = np.stack(tables, 1), np.stack(escapes, 1)
-    grams = np.unique(np.concatenate([g for g, _ in seen]))
-    row = np.full(size[4], -1, np.int32)
-    row[grams] = np.arange(len(grams))
-    long = escape[grams // SYMBOLS] + short[grams % size[3]]
-    for k, (g, cost) in enumerate(seen):
-        long[row[g], k] = cost
-    extra = np.zeros(SYMBOLS)
-    extra[0] = other
-    long += extra[grams % SYMBOLS][:, None]
-    short = short + np.tile(extra, size[2])[:, None]
-    return Model(languages, symbol, short.astype(np.float32), escape.astype(np.float32), row, long.astype(np.float32))
+        return Model([], np.zeros(0), np.zeros(0), [])
+    base, once, each = zip(*(_entries(samples[x]) for x in languages), strict=True)
+    levels = []
+    for n in range(ORDER + 1):
+        keys = np.concatenate([e[n][0] for e in each])
+        language = np.repeat(np.arange(len(languages), dtype=np.uint16 if len(languages) < 1 << 16 else np.int32), [len(e[n][0]) for e in each])
+        value = np.concatenate([e[n][1] for e in each]).astype(np.float32)
+        order = np.argsort(keys, kind="stable")
+        runs, first = np.unique(keys[order], return_index=True)
+        levels.append(Level(runs, np.append(first, len(keys)).astype(np.int32), language[order], value[order]))
+    return Model(languages, np.array(base), np.array(once), levels)
+
+
+class Scorer:
+    """Code lengths by a model's tables."""
+
+    def __init__(self, model: Model, dense: int = DENSE) -> None:
+        self.model, self.k = model, len(model.languages)
+        self.short, self.long = [], []
+        for n, level in enumerate(model.levels[:2]):
+            table = np.full(256 ** (n + 1), -1, np.int32)
+            table[level.keys] = np.arange(len(level.keys))
+            self.short.append(table)
+        for level in model.levels[2:]:
+            places = vocab._Places()
+            places.add(level.keys.astype(np.uint64))
+            self.long.append(places)
+        self.full: list[np.ndarray] | None = None
+        if self.k <= dense:
+            self.full = []
+            for n, level in enumerate(model.levels):
+                own = np.zeros((len(level.keys), self.k), np.float64)
+                own[np.repeat(np.arange(len(level.keys)), np.diff(level.start)), level.language] = level.value
+                if n:
+                    self._add_shorter(own, level.keys & np.uint32((1 << 8 * n) - 1), n)
+                self.full.append(own)
+            self.full = [f.astype(np.float32) for f in self.full]
+
+    def find(self, runs: np.ndarray, n: int) -> np.ndarray:
+        """Places of runs of n bytes in their table, or -1."""
+        return self.short[n - 1][runs] if n <= 2 else self.long[n - 3].find(runs.astype(np.uint64))
+
+    def _add_shorter(self, out: np.ndarray, runs: np.ndarray, n: int, rows: np.ndarray | None = None) -> None:
+        """Adds the summed entries of each run of n bytes, or of the longest end of it in a table."""
+        rows = np.arange(len(runs)) if rows is None else rows
+        while n and len(rows):
+            at = self.find(runs, n)
+            known = at >= 0
+            out[rows[known]] += self.full[n - 1][at[known]]
+            rows, runs, n = rows[~known], runs[~known], n - 1
+            runs = runs & np.uint32((1 << 8 * n) - 1)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each text in each language."""
+        size = np.diff(offsets)
+        total = size[:, None] * self.model.base + self.model.once
+        data = _FOLD[data]
+        position = None
+        for low in range(0, len(data), BLOCK):
+            high = min(len(data), low + BLOCK)
+            first = int(np.searchsorted(offsets, low, side="right")) - 1
+            edge = offsets[first:]
+            edge = edge[: int(np.searchsorted(edge, high))]
+            begin = np.maximum(edge, low) - low
+            doc = np.repeat(np.arange(first, first + len(edge)), np.diff(begin, append=high - low))
+            position = np.arange(low, high) - offsets[doc]
+            run = data[low:high].astype(np.uint32)
+            for back in range(1, ORDER + 1):
+                before = np.full(high - low, 32, np.uint32)
+                from_ = max(0, back - low)
+                before[from_:] = data[low + from_ - back : high - back]
+                before[position < back] = 32
+                run |= before << np.uint32(8 * back)
+            if self.full is not None:
+                bits = np.zeros((len(run), self.k), np.float32)
+                self._add_shorter(bits, run, ORDER + 1)
+                full = np.flatnonzero(np.diff(begin, append=high - low) > 0)
+                total[first + full] += np.add.reduceat(bits, begin[full], axis=0, dtype=np.float64)
+            else:
+                self._sparse(total, doc, run)
+        return total
+
+    def _sparse(self, total: np.ndarray, doc: np.ndarray, run: np.ndarray) -> None:
+        for n, level in enumerate(self.model.levels, 1):
+            at = self.find(run & np.uint32((1 << 8 * n) - 1), n)
+            known = at >= 0
+            key, count = np.unique(doc[known] * len(level.keys) + at[known], return_counts=True)
+            of, at = np.divmod(key, len(level.keys))
+            size = level.start[at + 1] - level.start[at]
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + 1, 1 << 21)[1:])
+            for part in np.split(np.arange(len(key)), cuts):
+                if len(part):
+                    own = size[part]
+                    entry = np.arange(int(own.sum())) + np.repeat(level.start[at[part]] - (np.cumsum(own) - own), own)
+                    low = int(of[part[0]])
+                    place = np.repeat(of[part] - low, own) * self.k + level.language[entry]
+                    sums = np.bincount(place, weights=level.value[entry] * np.repeat(count[part], own), minlength=(int(of[part[-1]]) - low + 1) * self.k)
+                    total[low : int(of[part[-1]]) + 1] += sums.reshape(-1, self.k)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text in each language; its first three bytes are coded after spaces."""
-    docs, k = len(offsets) - 1, len(model.languages)
-    space = int(model.symbol[32])
-    symbols = model.symbol[data].astype(np.int32)
-    total = np.zeros((docs, k))
-    if not len(symbols):
-        return total
-    code = symbols.copy()
-    position = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
-    scale = 1
-    for back in range(1, ORDER + 1):
-        scale *= SYMBOLS
-        before = np.full(len(symbols), space, np.int32)
-        before[back:] = symbols[:-back]
-        before[position < back] = space
-        code += before * np.int32(scale)
-    row = model.row[code]
-    bits = np.empty((len(symbols), k), np.float32)
-    known = row >= 0
-    bits[known] = model.long[row[known]]
-    rest = code[~known]
-    bits[~known] = model.escape[rest // SYMBOLS] + model.short[rest % SYMBOLS**3]
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    total[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
-    return total
+    """Bits of each text in each language."""
+    return Scorer(model)(data, offsets)
 
 
 def _letters(texts: pa.Array) -> np.ndarray:
@@ -140,10 +229,18 @@ def _letters(texts: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
 
 
+def _windows(text, most_bytes: int):
+    """Bytes of a text: all, or windows that are spread evenly over it."""
+    raw, each = text.cast("binary"), max(1, most_bytes // WINDOWS)
+    step = (F.octet_length(raw) - each) / F.lit(WINDOWS - 1)
+    parts = [F.substring(raw, (F.floor(step * i) + 1).cast("int"), F.lit(each)) for i in range(WINDOWS)]
+    return F.when(F.octet_length(raw) <= WINDOWS * each, F.array(raw)).otherwise(F.array(*parts))
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
     """A model from the rows whose crc32(doc_id) mod 4 is not 2."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, most_bytes).alias("t"))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), _windows(F.col("text"), most_bytes).alias("t"))
     # every language is learned, from fewer documents each where there are many languages
     sample = max(1, min(sample, SAMPLES // max(1, rows.agg(F.countDistinct("lang")).first()[0])))
     # the hash up to which rows are taken is found on hashes alone: within 64 parts of a language, then over those
@@ -155,26 +252,36 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -
     taken = rows.join(edge, "lang").filter("h <= edge").groupBy("lang", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list[bytes]] = {}
     for row in taken.orderBy("lang", "h").collect():
-        samples.setdefault(row.lang, []).append(bytes(row.t))
+        samples.setdefault(row.lang, []).extend(map(bytes, row.t))
     return train(samples)
 
 
-def _predicted(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the language of each text (the number of languages for none), score, bits a byte, and the lead in bits."""
+def _slices(offsets: np.ndarray, languages: int) -> Iterator[tuple[int, int]]:
+    most = max(1, 4_000_000 // max(1, languages))
+    for a, b in kernel.slices(offsets, 1 << 20):
+        for c in range(a, b, most):
+            yield c, min(b, c + most)
+
+
+def _predicted(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language of each text (the number of languages for none), score, bits in it, and the lead in bits."""
     data, offsets = kernel.strings(texts)
-    if m.languages:
-        bits = np.concatenate([code_lengths(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernel.slices(offsets, 1 << 18)])
-    else:
-        bits = np.zeros((len(texts), 1))
-    size = np.maximum(1, np.diff(offsets))
-    ranked = np.sort(bits, axis=1)
-    lead = ranked[:, 1] - ranked[:, 0] if bits.shape[1] > 1 else np.zeros(len(bits))
-    # bits count less the longer a text is, so long texts are not all certain
-    weight = np.exp2(-np.minimum(1000, (bits - ranked[:, :1]) / 8 / np.sqrt(size)[:, None]))
+    found: list[tuple[np.ndarray, ...]] = []
+    for a, b in _slices(offsets, scorer.k) if scorer.k else ():
+        own = offsets[a : b + 1] - offsets[a]
+        bits = scorer(data[offsets[a] : offsets[b]], own)
+        best = bits.argmin(1)
+        least = bits[np.arange(b - a), best]
+        second = np.partition(bits, 1, axis=1)[:, 1] if scorer.k > 1 else least
+        # bits count less the longer a text is, so long texts are not all certain
+        weight = np.exp2(-np.minimum(1000, (bits - least[:, None]) / 8 / np.sqrt(np.maximum(1, np.diff(own)))[:, None]))
+        found.append((best, 1 / weight.sum(1), least, second - least))
+    n = len(texts)
+    best, score, least, lead = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(n, np.int64), *(np.zeros(n) for _ in range(3)))
     und = ~_letters(texts)
-    if not m.languages:
+    if not scorer.k:
         und[:] = True
-    return np.where(und, len(m.languages), bits.argmin(1)), np.where(und, 0.0, 1 / weight.sum(1)), np.where(und, 0.0, ranked[:, 0] / size), np.where(und, 0.0, lead)
+    return np.where(und, scorer.k, best), np.where(und, 0.0, score), np.where(und, 0.0, least), np.where(und, 0.0, lead)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,12 +289,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = broadcast.value
-        names = np.array([*m.languages, "und"], dtype=object)
+        scorer = Scorer(broadcast.value)
+        names = np.array([*scorer.model.languages, "und"], dtype=object)
         for batch in batches:
             if batch.num_rows:
-                best, *rest = _predicted(m, batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), *map(pa.array, rest)], names=["doc_id", "lang_pred", "score", "bits_per_byte", "margin_bits"])
+                best, score, bits, lead = _predicted(scorer, batch.column("text"))
+                size = np.maximum(1, np.diff(kernel.strings(batch.column("text"))[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), *map(pa.array, (score, bits / size, lead))], names=["doc_id", "lang_pred", "score", "bits_per_byte", "margin_bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(worker.trimmed(run), SCHEMA)
 
@@ -196,21 +304,28 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 _KEYS = re.compile(r"\S*\d\S*")
 
 
-def accepted(docs: DataFrame, model: Model, most_bits: float = REJECT_BITS) -> DataFrame:
-    """Rows of ``docs``, as they are, whose text is in one of the languages: it has a letter, and its best code, of words without digits, is short enough."""
+def accepted(docs: DataFrame, model: Model, rate: float = RATE, allowed: float = ALLOWED) -> DataFrame:
+    """Rows of ``docs``, as they are, whose text is in one of the languages: it has a letter, and its best code, whole or without
+    words that hold a digit, is short enough against its length. If no language was learned, all texts with a letter stay.
+    """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
+    def good(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+        best, _, bits, _ = _predicted(scorer, texts)
+        return (best < scorer.k) & (bits <= rate * np.diff(kernel.strings(texts)[1]) + allowed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = broadcast.value
+        scorer = Scorer(broadcast.value)
         for batch in batches:
             if batch.num_rows:
-                best, _, bits, _ = _predicted(m, batch.column("text"))
-                kept = best < len(m.languages)
-                over = np.flatnonzero(kept & (bits > most_bits))
-                if len(over):
-                    plain = [_KEYS.sub(" ", t) for t in batch.column("text").take(pa.array(over)).to_pylist()]
-                    best, _, bits, _ = _predicted(m, pa.array(plain, pa.string()))
-                    kept[over] = (best < len(m.languages)) & (bits <= most_bits)
+                texts = batch.column("text")
+                kept = _letters(texts)
+                if scorer.k:
+                    kept = good(scorer, texts)
+                    over = np.flatnonzero(~kept & _letters(texts))
+                    if len(over):
+                        plain = [_KEYS.sub(" ", t) for t in texts.take(pa.array(over)).to_pylist()]
+                        kept[over] = good(scorer, pa.array(plain, pa.string()))
                 yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(worker.trimmed(run), docs.schema)

@@ -196,15 +196,6 @@ def test_op3_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
-def test_op3_code_length_is_that_of_the_rule():
-    model = op3_language_id.train({"a": [b"abab abab ac"], "b": [b"xyxy xyzx"]})
-    text = b"abac"
-    got = op3_language_id.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-    assert got[0] < got[1]
-    # in b no byte of the text was seen: every one escapes down to the even choice among symbols, the first from the contexts of spaces
-    assert got[1] > 4 * np.log2(op3_language_id.SYMBOLS) * 0.9
-
-
 def test_op3_rejects_what_is_in_no_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = random.Random(1)
