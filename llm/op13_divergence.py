@@ -1,10 +1,10 @@
 """Divergence of sources inside a language, by sorted runs.
 
 **Counts.** A task sorts the terms of a slice of texts by (lang, term, source, document) and scans the runs: each
-(lang, term, source) gives its documents and occurrences there, so what is shuffled is one row for each such run of a
-slice, not one for each word. These rows are repartitioned by (lang, term), sorted by (lang, term, source) inside
+(lang, term, source) gives its documents and occurrences there. Runs of a task's slices are added up, so what is shuffled
+is one row for each of some ten thousand documents, not one for each word. These rows are repartitioned by (lang, term), sorted by (lang, term, source) inside
 partitions, and scanned again: the runs' sums are the counts, the documents of all sources the document frequency.
-A term in a third of all documents has as many rows as slices that hold it.
+A term in a third of all documents has as many rows as tasks and sources that hold it.
 
 **Divergence.** Kept terms get their group's totals and are sorted by (lang, term, source) once more. The scan of a
 run emits the term for each source that has more of it than the language, and partial sums for each pair of sources
@@ -38,7 +38,9 @@ from llm import kernel, shared, vocab, worker
 
 LEAST, TOP = 10, 10
 ONE = 1_000_000_000
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of runs that a task adds up before it emits them.
+ADDED = 600_000
 #: Partial sums of pairs that a task holds before it emits them.
 HELD = 500_000
 _BREAK = np.ones(256, bool)
@@ -98,6 +100,15 @@ def runs_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "docs", "n"])
 
 
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The runs of several slices as one row each."""
+    if not held:
+        return []
+    keys = ["lang", "term", "source"]
+    sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    return sums.select([*keys, "docs_sum", "n_sum"]).rename_columns([*keys, "docs", "n"]).to_batches(max_chunksize=100_000)
+
+
 def _new(batch: pa.RecordBatch, *names: str) -> np.ndarray:
     """Starts of runs of equal strings in sorted rows."""
     new = np.zeros(batch.num_rows, bool)
@@ -137,8 +148,16 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            yield from runs_of(batch)
+            for runs in runs_of(batch):
+                held.append(runs)
+                if sum(h.num_rows for h in held) > ADDED:
+                    held = _added(held)
+                    if sum(h.num_rows for h in held) > ADDED // 2:
+                        yield from held
+                        held = []
+        yield from _added(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_runs(batches, _summed):

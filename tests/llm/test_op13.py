@@ -59,6 +59,7 @@ def test_random_tables_against_all_terms_of_all_pairs(spark, monkeypatch, seed):
         rows.append((rng.choice([text, text, text, None, ""]), rng.choice(["en", "en", "de", None, "", "rare"]), rng.choice([None, "", "hot", "hot", "hot", *(f"s{k}" for k in range(9))])))
     rows += [("word " * 30, "lone", "one")] * 12 + [("too few", "none", s) for s in ("a", "b", "b")]
     monkeypatch.setattr(op13, "SLICE_BYTES", 700)
+    monkeypatch.setattr(op13, "ADDED", 40)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
         assert rows_of(op13.audit(made(spark, rows))) == brute_force(rows)
