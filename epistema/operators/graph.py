@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epistema.plans.storage import settled
+from epistema.plans.storage import settled, small
 
 
 def oriented(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -19,24 +22,84 @@ def oriented(edges: DataFrame, direction: str = "both") -> DataFrame:
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", predicates: Column | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth first from seeds (node): nodes (node, depth) and scanned edges (src, dst, predicate, depth).
 
-    most: nodes in all; beyond it the ones nearest, then least by name, stay.
+    most: nodes in all; beyond it the ones nearest, then least by name, stay. The edges are written once, both ways, by the
+    node they leave; a step joins them with its front alone, which is sent to all if it is small.
     """
-    walk = oriented(edges.filter(predicates) if predicates is not None else edges, direction)
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    front, scanned = seen, None
+    walk = settled(oriented(edges.filter(predicates) if predicates is not None else edges, direction).repartition("at"))
+    fronts, scanned = [seeds.select("node").distinct().withColumn("depth", F.lit(0))], []
     for d in range(1, depth + 1):
-        met = walk.join(front.select(F.col("node").alias("at")), "at")
-        step = met.select("src", "dst", "predicate", F.lit(d).alias("depth")).distinct()
-        scanned = step if scanned is None else scanned.unionByName(step)
-        front = settled(met.select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        seen = settled(seen.unionByName(front))
-    edges_found = scanned.groupBy("src", "dst", "predicate").agg(F.min("depth").alias("depth"))
+        met = settled(walk.join(small(fronts[-1].select(F.col("node").alias("at"))), "at").select("src", "dst", "predicate", "to", F.lit(d).alias("depth")))
+        scanned.append(met.select("src", "dst", "predicate", "depth"))
+        fresh = met.select(F.col("to").alias("node")).distinct()
+        for front in fronts:  # as many as steps
+            fresh = fresh.join(front, "node", "left_anti")
+        fronts.append(settled(fresh.withColumn("depth", F.lit(d))))
+    seen = reduce(DataFrame.unionByName, fronts)
+    edges_found = reduce(DataFrame.unionByName, scanned).groupBy("src", "dst", "predicate").agg(F.min("depth").alias("depth")) if scanned else walk.select("src", "dst", "predicate", F.lit(0).alias("depth")).limit(0)
     if most is not None:
         # limit by order needs no single task: each partition sends its first rows
         seen = seen.orderBy("depth", "node").limit(most)
     return seen, edges_found
 
 
+@dataclass
+class Walk:
+    """nodes (node, depth), edges (at, to, predicate, statement_id, depth) in the order of ``place`` within a depth, and whether the budget ended it."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+def bounded(edges: DataFrame, seeds: DataFrame, depth: int, most: int, direction: str = "both", predicates: Column | None = None) -> Walk:
+    """Breadth first within a budget of nodes, as if nodes were taken one by one: a front in order of names, a node's outgoing edges before its incoming ones, each by statement.
+
+    edges: (src, dst, predicate, statement_id). Every edge looked at is given, up to the one whose end would exceed the budget. A new node's place is the
+    first edge that reaches it; where a step finds more nodes than are left, the places of the last one allowed and of the next
+    tell where the walk stops. Both come from an ordered limit, so a step moves no more than its front's edges.
+    """
+    good = edges.filter(predicates) if predicates is not None else edges
+    out = good.select(F.col("src").alias("at"), F.col("dst").alias("to"), "predicate", "statement_id", F.lit(0).alias("way"))
+    back = good.select(F.col("dst").alias("at"), F.col("src").alias("to"), "predicate", "statement_id", F.lit(1).alias("way"))
+    walk = settled({"out": out, "in": back, "both": out.unionByName(back)}[direction].repartition("at"))
+    start = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    fronts, scanned, truncated, seen = [start], [], False, start.count()
+    for d in range(1, depth + 1):
+        front = fronts[-1]
+        if not front.limit(1).count():
+            break
+        if seen >= most:
+            truncated = True
+            break
+        met = settled(walk.join(small(front.select(F.col("node").alias("at"))), "at").withColumn("place", F.struct("at", "way", "statement_id", "to", "predicate")))
+        fresh = met.select(F.col("to").alias("node"), "place")
+        for f in fronts:
+            fresh = fresh.join(f, "node", "left_anti")
+        first = fresh.groupBy("node").agg(F.min("place").alias("place"))
+        first = settled(first.orderBy("place").limit(most - seen + 1))  # one more than may come
+        found = first.count()
+        if found > most - seen:
+            stop = first.agg(F.max("place")).first()[0]
+            edge = F.struct(*(F.lit(v).alias(k) for k, v in stop.asDict().items()))
+            first = settled(first.filter(F.col("place") < edge))
+            last = first.agg(F.max("place")).first()[0]
+            # the edge to the node that is too many is the last one, if the same node leads to it; else the list of the last allowed node's finder is
+            met = met.filter(F.col("place") <= edge if stop.at == last.at else F.col("at") <= last.at)
+            truncated = True
+        elif found == most - seen and found:
+            last = first.agg(F.max("place")).first()[0]
+            if front.filter(F.col("node") > last.at).limit(1).count():  # nodes of the front are left when the budget is spent
+                met, truncated = met.filter(F.col("at") <= last.at), True
+        scanned.append(met.select("at", "to", "predicate", "statement_id", F.lit(d).alias("depth"), "place"))
+        fronts.append(settled(first.select("node", F.lit(d).alias("depth"))))
+        seen += min(found, most - seen)
+        if truncated:
+            break
+    nodes = reduce(DataFrame.unionByName, fronts)
+    none = walk.limit(0).select("at", "to", "predicate", "statement_id", F.lit(0).alias("depth"), F.struct("at", "way", "statement_id", "to", "predicate").alias("place"))
+    return Walk(nodes, reduce(DataFrame.unionByName, scanned) if scanned else none, truncated)
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return traverse(edges, seeds, depth)[0]
 
@@ -94,9 +157,43 @@ def weights(beliefs: DataFrame) -> DataFrame:
     return beliefs.groupBy(F.col("subject_id").alias("src"), F.col("object").alias("dst")).agg(F.round(F.avg("confidence"), 6).alias("weight"))
 
 
-def communities(weighted: DataFrame, rounds: int = 10) -> DataFrame:
-    """Labels by synchronous weighted propagation: (node, label). Votes count in both directions, a node's own label with its mean weight; ties go to the least label."""
-    walk = settled(weighted.select("src", "dst", "weight").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+def communities(weighted: DataFrame, rounds: int = 10, ordered: bool = True) -> DataFrame:
+    """Labels by weighted propagation: (node, label); a label is the name of the node it came from.
+
+    In a round nodes vote in the order of their names, each seeing the new labels of lesser neighbours and the old ones of
+    greater; votes count in both directions, ties go to the least label, nodes without neighbours keep theirs. Such a round has one
+    outcome, whatever the order of work: it is found by voting again for nodes with a lesser neighbour whose label changed, until none does.
+    So a round takes as many joins as changes need to spread along ascending names, not one for each node.
+    ordered=False: all nodes see old labels only, and a node's own label has its neighbours' mean weight.
+    """
+    both = weighted.select("src", "dst", "weight").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    if not ordered:
+        return _synchronous(both, rounds)
+    walk = settled(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).repartition("dst"))
+    labels = settled(walk.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    for _ in range(rounds):
+        new = old = labels
+        changed: DataFrame | None = None
+        while True:
+            # of those that vote (again): all at first, then the ones above a node whose label changed
+            voters = labels.select("node") if changed is None else walk.join(small(changed.select(F.col("node").alias("dst"))), "dst").filter("src > dst").select(F.col("src").alias("node")).distinct()
+            seen = old.join(new.withColumnRenamed("label", "new"), "node").select(F.col("node").alias("dst"), "label", "new")
+            edges = walk.join(voters.withColumnRenamed("node", "src"), "src", "left_semi") if changed is not None else walk
+            votes = edges.join(seen, "dst").select("src", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("label")).alias("label"), "weight")
+            tally = votes.groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+            voted = settled(tally.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("voted")))
+            changed = settled(voted.join(new, "node").filter("voted <> label").select("node", F.col("voted").alias("label")))
+            if not changed.limit(1).count():
+                break
+            new = settled(new.join(changed, "node", "left_anti").unionByName(changed))
+        if not new.join(old, ["node", "label"], "left_anti").limit(1).count():
+            return new
+        labels = new
+    return labels
+
+
+def _synchronous(both: DataFrame, rounds: int) -> DataFrame:
+    walk = settled(both.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     own = walk.groupBy("src").agg(F.avg("weight").alias("weight"))
     labels = walk.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
@@ -110,34 +207,6 @@ def communities(weighted: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def ordered_communities(weighted: DataFrame, rounds: int = 10) -> DataFrame:
-    """Labels by propagation in the order of ids, each vote seeing those before it. Sequential by definition: for one space's graph, in one task."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(pdf.src, pdf.dst, pdf.weight, strict=True):
-            near.setdefault(a, {}).setdefault(b, 0.0)
-            near.setdefault(b, {}).setdefault(a, 0.0)
-            near[a][b] += w
-            near[b][a] += w
-        label = {n: n for n in near}
-        for _ in range(rounds):
-            moved = False
-            for n in sorted(near):
-                votes: dict[str, float] = {}
-                for m, w in near[n].items():
-                    votes[label[m]] = votes.get(label[m], 0.0) + w
-                best = min(votes, key=lambda x: (-votes[x], x))
-                moved |= best != label[n]
-                label[n] = best
-            if not moved:
-                break
-        return pd.DataFrame(sorted(label.items()), columns=["node", "label"])
-
-    return weighted.withColumn("space_id", F.lit(0)).groupBy("space_id").applyInPandas(run, "node string, label string")
-
-
 def members(labels: DataFrame) -> DataFrame:
     """Communities of two or more: label, size, members."""
     return labels.groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).filter("size >= 2")

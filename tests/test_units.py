@@ -91,7 +91,7 @@ def test_graph(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (7, 8)], "u long, v long")
     assert {(r.id, r.component) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
     w = e.withColumn("weight", F.lit(1.0))
-    assert graph.communities(w).count() == graph.ordered_communities(w).count() == 6
+    assert graph.communities(w).count() == graph.communities(w, ordered=False).count() == 6
 
 
 def test_episode_clusters_of_all_assertions(spark, sf):
