@@ -19,6 +19,6 @@ def query(key: str, sql: str | None = None):
 
 
 def every() -> tuple[dict[str, Callable], dict[str, str]]:
-    from epistema.catalogue import core, kept, relations, search  # noqa: F401
+    from epistema.catalogue import core, kept, recalled, relations, search  # noqa: F401
 
     return QUERIES, SQL

@@ -370,35 +370,65 @@ def _(spark, d):
     return fx.table(spark, d, "pages").select("page_id", html.front_matter(note).alias("s")).select("page_id", "s.front", "s.body")
 
 
+#: What is wrong with claim n of the fixture, by divisors of n, in the order of checks; 29, 31 and 37 are spans in characters, spans of other bytes, and surfaces in other case.
+_FAULTS = {"confidence_out_of_range": (19,), "unknown_predicate": (17,), "subject_type": (43,), "object_type": (23, 41), "subject_not_verbatim": (13, 31), "span_out_of_bounds": (41,)}
+
+
 def responses(spark, d: str) -> DataFrame:
+    """Claims about texts with wide characters; quotes place their mentions, but in every third claim spans do."""
     a = fx.assertions(spark, d)
-    mention = lambda s, t: F.struct(s.alias("surface"), F.lit(t).alias("entity_type"))
-    bad = F.col("assertion_id") % 13 == 0
-    claim = F.struct(F.when(F.col("assertion_id") % 17 == 0, "unheard_of").otherwise(F.col("predicate")).alias("predicate"), mention(F.when(bad, "nobody").otherwise(F.col("subject_id")), "Person").alias("subject"), F.struct(F.lit("entity").alias("kind"), F.col("object").alias("surface"), F.lit("Concept").alias("entity_type")).alias("object"), F.lit("affirm").alias("polarity"), (F.col("confidence") + F.when(F.col("assertion_id") % 19 == 0, 1.0).otherwise(0.0)).alias("confidence"))
-    return a.select("assertion_id", "episode_id", "extractor_id", "recorded_at", "trust", F.concat_ws(" ", "subject_id", "predicate", "object").alias("content"), F.to_json(F.struct(F.array(claim).alias("claims"))).alias("raw_response"))
+    n, lit = F.col("assertion_id"), lambda x: F.lit(x).cast("string")
+    every = lambda k: n % k == 0
+    content = F.concat_ws(" ", F.lit("Zoë 日本:"), "subject_id", "predicate", "object")
+    size = F.length("subject_id").cast("long")
+    spans = every(29) | every(31) | every(37) | every(3)
+    start = F.when(every(29), 8).when(every(31), 0).otherwise(13).cast("long")  # the subject is character 8, byte 13
+    subject = F.struct(F.when(every(13), "nobody").when(every(37), F.upper("subject_id")).otherwise(F.col("subject_id")).alias("surface"), F.when(every(43), "Place").otherwise("Person").alias("entity_type"), F.when(~spans, content).alias("quote"), F.when(spans, F.array(start, start + size)).alias("span"))
+    kind = F.when(every(23), "Nonsense").when(F.col("predicate") == "works_on", "Project").when(F.col("predicate") == "knows", "Person").when(F.col("predicate") == "born_in", "Place").otherwise("Organization")
+    literal = every(41)
+    obj = F.struct(F.when(literal, "literal").otherwise("entity").alias("kind"), F.when(~literal, F.struct(F.col("object").alias("surface"), kind.alias("entity_type"), content.alias("quote"))).alias("mention"), F.when(literal, lit("text")).alias("literal_type"), F.when(literal, F.col("object")).alias("value"))
+    claim = F.struct(F.when(every(17), "unheard_of").otherwise(F.col("predicate")).alias("predicate"), subject.alias("subject"), obj.alias("object"), F.lit("affirm").alias("polarity"), (F.col("confidence") + F.when(every(19), 1.0).otherwise(0.0)).alias("confidence"))
+    return a.select("assertion_id", "episode_id", "extractor_id", "recorded_at", "trust", content.alias("content"), F.to_json(F.struct(F.array(claim).alias("claims"))).alias("raw_response"))
 
 
-@query(
-    "v1_v3_validate_claims",
-    with_("assertions")
-    + "SELECT assertion_id, concat_ws(',', CASE WHEN assertion_id % 19 = 0 THEN 'confidence_out_of_range' END, CASE WHEN assertion_id % 17 = 0 THEN 'unknown_predicate' END, CASE WHEN assertion_id % 13 = 0 THEN 'subject_not_in_text' END) AS errors FROM assertions",
-)
+_WRONG = ", ".join(f"CASE WHEN ({' OR '.join(f'assertion_id % {k} = 0' for k in ks)}){'' if name in ('confidence_out_of_range', 'unknown_predicate') else ' AND assertion_id % 17 <> 0'} THEN '{name}' END" for name, ks in _FAULTS.items())
+# a claim for which two of the spans' rules hold takes the first: characters before other bytes before other case
+_WRONG = _WRONG.replace("assertion_id % 31 = 0", "assertion_id % 31 = 0 AND assertion_id % 29 <> 0 OR assertion_id % 37 = 0 AND assertion_id % 29 = 0")
+
+
+@query("v1_v3_validate_claims", with_("assertions") + f"SELECT assertion_id, concat_ws(',', {_WRONG}) AS errors FROM assertions")
 def _(spark, d):
     return extract.checked(extract.claims(responses(spark, d)), ontology(spark)).select("assertion_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("f17_extraction_projection", with_("assertions") + "SELECT subject_id, predicate, object, count(*) AS n FROM assertions WHERE assertion_id % 13 <> 0 AND assertion_id % 17 <> 0 AND assertion_id % 19 <> 0 GROUP BY 1, 2, 3")
+@query("f17_extraction_projection", with_("assertions") + f"SELECT subject_id, predicate, object, count(*) AS n FROM assertions WHERE concat_ws(',', {_WRONG}) = '' GROUP BY 1, 2, 3")
 def _(spark, d):
     valid, _bad = extract.quarantine(extract.checked(extract.claims(responses(spark, d)), ontology(spark)))
     return extract.project(valid).groupBy("subject_id", "predicate", "object").agg(F.count("*").alias("n"))
 
 
-@query("v2_x11_mention_spans", "SELECT doc_id, CAST(strlen(text) - strlen(ltrim(text)) AS BIGINT) AS start FROM documents WHERE length(text) > 30")
+_NAME = "substring(text, p + 1, 12)"
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "v2_x11_mention_spans",
+    f"""WITH m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE name END AS surface, length(name) AS k FROM (SELECT doc_id, text, {_NAME} AS name, p FROM (SELECT *, length(text) // 2 AS p FROM documents))),
+b AS (SELECT *, hex(encode(text)) AS h, hex(encode(surface)) AS hs, hex(encode(translate(text, {_ASCII}))) AS l, hex(encode(translate(surface, {_ASCII}))) AS ls, strlen(surface) AS size FROM m),
+q AS (SELECT *, instr(text, name) AS quote_at, instr(name, surface) AS i, instr(translate(name, {_ASCII}), translate(surface, {_ASCII})) AS j FROM b),
+r AS (SELECT doc_id, p, k, h, size, surface, name, CASE WHEN doc_id % 4 = 3 AND surface <> '' THEN strlen(substring(text, 1, quote_at - 1)) + strlen(substring(name, 1, CASE WHEN i > 0 THEN i ELSE j END - 1)) END AS quoted,
+  substring(h, 2 * p + 1, 2 * k) = hs AND p + k <= strlen(text) AS bytes, surface = name AND p < length(text) AS chars, substring(l, 2 * p + 1, 2 * k) = ls AND p + k <= strlen(text) AS but_case, strlen(substring(text, 1, p)) AS byte_of FROM q)
+SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN quoted WHEN bytes THEN p WHEN chars THEN byte_of WHEN but_case THEN p END AS BIGINT) AS start,
+  CASE WHEN doc_id % 4 = 3 THEN CASE WHEN quoted IS NOT NULL THEN name END WHEN bytes OR chars THEN surface WHEN but_case THEN decode(unhex(substring(h, 2 * p + 1, 2 * k))) END AS repaired FROM r""",
+)
 def _(spark, d):
-    docs = fx.table(spark, d, "documents").filter("length(text) > 30")
-    head = F.substring("text", 1, 12)
-    none = F.lit(None).cast("array<bigint>")
-    return docs.select("doc_id", extract.place(F.col("text"), head, F.when(F.lit(False), head), F.coalesce(none, F.array(F.lit(0).cast("bigint"), F.length(head).cast("bigint"))))["start"].alias("start"))
+    docs = fx.table(spark, d, "documents").withColumn("p", F.floor(F.length("text") / 2).cast("int"))
+    docs = docs.withColumn("name", F.col("text").substr(F.col("p") + 1, F.lit(12)))
+    n = F.col("doc_id") % 4
+    surface = F.when(n == 0, F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("name"))
+    span = F.array(F.col("p").cast("long"), (F.col("p") + F.length("name")).cast("long"))
+    found = docs.select("doc_id", extract.place(F.col("text"), surface, F.when(n == 3, F.col("name")), span).alias("at"))
+    return found.select("doc_id", "at.start", "at.repaired")
 
 
 @query("o7_v4_few_shot", None)

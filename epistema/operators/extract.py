@@ -13,35 +13,92 @@ from epistema.functions.scalars import content_id
 from epistema.operators.relational import jaccard
 from epistema.operators.text import shingles
 from epistema.plans.storage import small
-from epistema.schema import TIME_MAX, TIME_MIN
+from epistema.schema import OBJECT_TYPES, TIME_MAX, TIME_MIN
 
-CLAIMS = "claims array<struct<predicate:string,subject:struct<surface:string,entity_type:string,quote:string,span:array<bigint>>,object:struct<kind:string,surface:string,entity_type:string,value:string>,polarity:string,confidence:double,valid_from:bigint,valid_to:bigint>>"
+_MENTION = "surface:string,entity_type:string,quote:string,span:array<bigint>"
+CLAIMS = f"claims array<struct<predicate:string,subject:struct<{_MENTION}>,object:struct<kind:string,{_MENTION},mention:struct<{_MENTION}>,literal_type:string,value:string>,polarity:string,confidence:double,valid_from:bigint,valid_to:bigint>>"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def claims(responses: DataFrame) -> DataFrame:
-    """A row for each claim of responses (episode_id, content, raw_response)."""
+    """A row for each claim of responses (episode_id, content, raw_response). An object's mention may stand in it or under ``mention``."""
     parsed = responses.withColumn("__c", F.from_json("raw_response", CLAIMS))
-    return parsed.select(*[c for c in responses.columns if c != "raw_response"], F.posexplode("__c.claims").alias("ordinal", "claim"))
+    rows = parsed.select(*[c for c in responses.columns if c != "raw_response"], F.posexplode("__c.claims").alias("ordinal", "claim"))
+    obj = F.col("claim.object")
+    own = [F.coalesce(obj["mention"][f], obj[f]).alias(f) for f in ("surface", "entity_type", "quote", "span")]
+    return rows.withColumn("claim", F.col("claim").withField("object", F.when(obj.isNotNull(), F.struct(obj["kind"].alias("kind"), *own, obj["literal_type"].alias("literal_type"), obj["value"].alias("value")))))
+
+
+def _folded(text: Column) -> Column:
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def _located(content: Column, quote: Column, needle: Column) -> Column:
+    """Where a needle stands inside the first occurrence of a quote: bytes start and end, and the text there; ASCII letters in either case if it is not there as it is."""
+    at = F.call_function("locate", quote, content)
+    exact = F.call_function("locate", needle, quote)
+    inside = F.when(exact > 0, exact).otherwise(F.call_function("locate", _folded(needle), _folded(quote)))
+    start = (F.octet_length(content.substr(F.lit(1), at - 1)) + F.octet_length(quote.substr(F.lit(1), inside - 1))).cast("long")
+    return F.when((needle != "") & (at > 0) & (inside > 0), F.struct(start.alias("start"), (start + F.octet_length(needle)).alias("end"), quote.substr(inside, F.length(needle)).alias("repaired")))
+
+
+def place(content: Column, surface: Column, quote: Column, span: Column) -> Column:
+    """Where a mention stands in a text: bytes start and end, and the text there, or null.
+
+    By its quote, if it has one, and by that alone; else by its span, taken as bytes, as characters, or as bytes where
+    ASCII letters may differ in case. A span is never moved elsewhere. A span that is not there is (0, 0).
+    """
+    a, b = (F.coalesce(F.get(span, F.lit(i)), F.lit(0)).cast("int") for i in (0, 1))
+    size, chars = F.octet_length(content), F.length(content)
+    within = (a >= 0) & (a <= b)
+    slice_of = lambda text: text.cast("binary").substr(a + 1, b - a)
+    as_bytes = within & (b <= size) & (slice_of(content) == surface.cast("binary"))
+    as_chars = within & (a < chars) & (b <= chars) & (content.substr(a + 1, b - a) == surface)
+    but_case = within & (b <= size) & (slice_of(_folded(content)) == _folded(surface).cast("binary"))
+    here = lambda start, text: F.struct(start.cast("long").alias("start"), (start + F.octet_length(surface)).cast("long").alias("end"), text.alias("repaired"))
+    found = F.when(as_bytes, here(a, surface)).when(as_chars, here(F.octet_length(content.substr(F.lit(1), a)), surface)).when(but_case, here(a, slice_of(content).cast("string")))
+    return F.when(quote.isNotNull(), _located(content, quote, surface)).otherwise(found)
 
 
 def checked(rows: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Claims with the array of what is wrong with them; an ontology of moderate size is broadcast."""
-    defs = ontology.select(F.col("name").alias("__name"), "object_kind", "subject_types")
+    """Claims with the array of what is wrong with them; those without faults have their surfaces and spans as the text has them.
+
+    An unknown predicate ends the check of a claim. object_types of the ontology are the types that an entity object may
+    have, or the variants of an enum; without that column they are those of the built-in predicates. An ontology of moderate size is broadcast.
+    """
+    if "object_types" not in ontology.columns:
+        types = F.create_map(*(F.lit(x) for kv in OBJECT_TYPES.items() for x in kv))
+        ontology = ontology.withColumn("object_types", F.try_element_at(types, F.col("name")))
+    defs = ontology.select(F.col("name").alias("__name"), F.col("object_kind").alias("__kind"), F.col("subject_types").alias("__subject"), F.col("object_types").alias("__object"))
     out = rows.join(small(defs), F.col("claim.predicate") == F.col("__name"), "left")
     c = lambda f: F.col(f"claim.{f}")
-    known = F.col("__name").isNotNull()
-    entity = c("object.kind") == "entity"
+    one_of = lambda value, names: F.array_contains(F.split(names, ","), F.coalesce(value, F.lit("")))
+    known, entity, literal = F.col("__name").isNotNull(), F.coalesce(c("object.kind") == "entity", F.lit(False)), F.coalesce(c("object.kind") == "literal", F.lit(False))
+    kind_of = F.col("__kind")
+    fits = F.when(entity, (kind_of == "entity") & F.coalesce(one_of(c("object.entity_type"), F.col("__object")), F.lit(True)))
+    fits = fits.when(literal & (kind_of == "enum"), F.coalesce(one_of(c("object.value"), F.col("__object")), F.lit(False))).when(literal, F.coalesce(c("object.literal_type") == kind_of, F.lit(False))).otherwise(False)
+    at = lambda who: place(F.col("content"), c(f"{who}.surface"), c(f"{who}.quote"), c(f"{who}.span"))
+    out = out.withColumn("__s", F.when(known, at("subject"))).withColumn("__o", F.when(known & entity, at("object")))
+    out = out.withColumn("__v", F.when(known & literal, _located(F.col("content"), c("object.quote"), c("object.value"))))
+    a, b = (F.coalesce(F.get(c("object.span"), F.lit(i)), F.lit(0)) for i in (0, 1))
+    outside = (a >= F.octet_length("content")) | (b > F.octet_length("content")) | (a >= b)
+    quoted = c("object.quote").isNotNull()
     errors = F.array_compact(
         F.array(
-            F.when(c("confidence").isNull() | (c("confidence") < 0) | (c("confidence") > 1), "confidence_out_of_range"),
+            F.when(c("confidence").isNull() | ~c("confidence").between(0, 1), "confidence_out_of_range"),
             F.when(~known, "unknown_predicate"),
-            F.when(known & ~F.array_contains(F.split("subject_types", ","), c("subject.entity_type")), "subject_type"),
-            F.when(known & ((F.col("object_kind") == "entity") != entity), "object_kind"),
-            F.when(~F.contains(F.lower("content"), F.lower(c("subject.surface"))), "subject_not_in_text"),
-            F.when(entity & ~F.contains(F.lower("content"), F.lower(c("object.surface"))), "object_not_in_text"),
+            F.when(known & ~one_of(c("subject.entity_type"), F.col("__subject")), "subject_type"),
+            F.when(known & ~fits, "object_type"),
+            F.when(known & F.col("__s").isNull(), "subject_not_verbatim"),
+            F.when(known & ((entity & F.col("__o").isNull()) | (literal & quoted & F.col("__v").isNull())), "object_not_verbatim"),
+            F.when(known & literal & ~quoted & outside, "span_out_of_bounds"),
         )
     )
-    return out.withColumn("errors", errors).drop("__name", "object_kind", "subject_types")
+    out = out.withColumn("errors", errors)
+    mended = lambda who, where: F.col("claim").getField(who).withField("surface", F.col(f"{where}.repaired")).withField("span", F.array(f"{where}.start", f"{where}.end"))
+    value = c("object").withField("value", F.col("__v.repaired")).withField("span", F.array("__v.start", "__v.end"))
+    whole = F.col("claim").withField("subject", mended("subject", "__s")).withField("object", F.when(entity, mended("object", "__o")).when(quoted, value).otherwise(c("object")))
+    return out.withColumn("claim", F.when(F.size("errors") == 0, whole).otherwise(F.col("claim"))).drop("__name", "__kind", "__subject", "__object", "__s", "__o", "__v")
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,33 +128,6 @@ def project(valid: DataFrame) -> DataFrame:
     )
 
 
-def _place(content: str, surface: str, quote: str | None, span: list[int] | None) -> tuple[int, int] | None:
-    raw = content.encode()
-    if quote and surface in quote and content.count(quote) == 1:
-        at = content.index(quote) + quote.index(surface)
-        start = len(content[:at].encode())
-        return start, start + len(surface.encode())
-    if span is not None and len(span) == 2 and 0 <= span[0] <= span[1]:
-        a, b = int(span[0]), int(span[1])
-        if raw[a:b] == surface.encode():
-            return a, b
-        if content[a:b] == surface:
-            return len(content[:a].encode()), len(content[:b].encode())
-        if b <= len(raw) and raw[a:b].decode(errors="replace").lower() == surface.lower():
-            return a, b
-    return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("repaired", T.StringType())]))
-def place(content: pd.Series, surface: pd.Series, quote: pd.Series, span: pd.Series) -> pd.DataFrame:
-    """Bytes of a mention: by its quote, its span in bytes, in characters, or but for case; never found elsewhere. ``repaired`` is the text there."""
-    out = []
-    for c, s, q, p in zip(content, surface, quote, span, strict=True):
-        found = _place(c or "", s or "", q, list(p) if p is not None else None)
-        out.append((*found, (c or "").encode()[found[0] : found[1]].decode(errors="replace")) if found else (None, None, None))
-    return pd.DataFrame(out, columns=["start", "end", "repaired"]).astype({"start": "Int64", "end": "Int64"})
-
-
 def metrics(extracted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Precision, recall and F1 over distinct lower-case triples; nothing expected is all recalled."""
     low = lambda df: df.select(*(F.lower(k).alias(k) for k in keys)).distinct()

@@ -44,60 +44,65 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "b
 
 @dataclass
 class Walk:
-    """nodes (node, depth), edges (at, to, predicate, statement_id, depth) in the order of ``place`` within a depth, and whether the budget ended it."""
+    """nodes (query, node, depth), edges (query, at, to, predicate, statement_id, depth) in the order of ``place`` within a depth, and the queries (query) that their budget ended."""
 
     nodes: DataFrame
     edges: DataFrame
-    truncated: bool
+    truncated: DataFrame
 
 
-def bounded(edges: DataFrame, seeds: DataFrame, depth: int, most: int, direction: str = "both", predicates: Column | None = None) -> Walk:
-    """Breadth first within a budget of nodes, as if nodes were taken one by one: a front in order of names, a node's outgoing edges before its incoming ones, each by statement.
+def walks(edges: DataFrame, seeds: DataFrame, depth: int, most: int, direction: str = "both", predicates: Column | None = None) -> Walk:
+    """Breadth first from the seeds (query, node) of each query within a budget of nodes, as if nodes were taken one by one: a front in order of names, a node's
+    outgoing edges before its incoming ones, each by statement.
 
-    edges: (src, dst, predicate, statement_id). Every edge looked at is given, up to the one whose end would exceed the budget. A new node's place is the
-    first edge that reaches it; where a step finds more nodes than are left, the places of the last one allowed and of the next
-    tell where the walk stops. Both come from an ordered limit, so a step moves no more than its front's edges.
+    edges: (src, dst, predicate, statement_id). Every edge looked at is given, up to the one whose end would exceed the budget. A new node's place is
+    the first edge that reaches it; where a step finds more nodes than are left, the places of the last one allowed and of the next tell
+    where the walk stops. They come from ranks that end at the budget, so a step moves no more than its fronts' edges.
     """
     good = edges.filter(predicates) if predicates is not None else edges
     out = good.select(F.col("src").alias("at"), F.col("dst").alias("to"), "predicate", "statement_id", F.lit(0).alias("way"))
     back = good.select(F.col("dst").alias("at"), F.col("src").alias("to"), "predicate", "statement_id", F.lit(1).alias("way"))
     walk = settled({"out": out, "in": back, "both": out.unionByName(back)}[direction].repartition("at"))
-    start = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    fronts, scanned, truncated, seen = [start], [], False, start.count()
+    place = F.struct("at", "way", "statement_id", "to", "predicate")
+    fronts, scanned, ended = [settled(seeds.select("query", "node").distinct().withColumn("depth", F.lit(0)))], [], []
+    seen = fronts[0].groupBy("query").agg(F.count("*").alias("seen"))
     for d in range(1, depth + 1):
-        front = fronts[-1]
+        front = fronts[-1].join(seen, "query").withColumn("left", most - F.col("seen"))
+        for e in ended:  # as many as steps
+            front = front.join(e, "query", "left_anti")
+        front = settled(front)
+        ended.append(front.filter("left <= 0").select("query").distinct())
+        front = front.filter("left > 0")
         if not front.limit(1).count():
             break
-        if seen >= most:
-            truncated = True
-            break
-        met = settled(walk.join(small(front.select(F.col("node").alias("at"))), "at").withColumn("place", F.struct("at", "way", "statement_id", "to", "predicate")))
-        fresh = met.select(F.col("to").alias("node"), "place")
+        met = settled(walk.join(small(front.select("query", F.col("node").alias("at"), "left")), "at").withColumn("place", place))
+        fresh = met.select("query", F.col("to").alias("node"), "place", "left")
         for f in fronts:
-            fresh = fresh.join(f, "node", "left_anti")
-        first = fresh.groupBy("node").agg(F.min("place").alias("place"))
-        first = settled(first.orderBy("place").limit(most - seen + 1))  # one more than may come
-        found = first.count()
-        if found > most - seen:
-            stop = first.agg(F.max("place")).first()[0]
-            edge = F.struct(*(F.lit(v).alias(k) for k, v in stop.asDict().items()))
-            first = settled(first.filter(F.col("place") < edge))
-            last = first.agg(F.max("place")).first()[0]
-            # the edge to the node that is too many is the last one, if the same node leads to it; else the list of the last allowed node's finder is
-            met = met.filter(F.col("place") <= edge if stop.at == last.at else F.col("at") <= last.at)
-            truncated = True
-        elif found == most - seen and found:
-            last = first.agg(F.max("place")).first()[0]
-            if front.filter(F.col("node") > last.at).limit(1).count():  # nodes of the front are left when the budget is spent
-                met, truncated = met.filter(F.col("at") <= last.at), True
-        scanned.append(met.select("at", "to", "predicate", "statement_id", F.lit(d).alias("depth"), "place"))
-        fronts.append(settled(first.select("node", F.lit(d).alias("depth"))))
-        seen += min(found, most - seen)
-        if truncated:
-            break
-    nodes = reduce(DataFrame.unionByName, fronts)
-    none = walk.limit(0).select("at", "to", "predicate", "statement_id", F.lit(0).alias("depth"), F.struct("at", "way", "statement_id", "to", "predicate").alias("place"))
-    return Walk(nodes, reduce(DataFrame.unionByName, scanned) if scanned else none, truncated)
+            fresh = fresh.join(f, ["query", "node"], "left_anti")
+        first = fresh.groupBy("query", "node", "left").agg(F.min("place").alias("place"))
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("place"))).filter((F.col("r") <= most + 1) & (F.col("r") <= F.col("left") + 1))
+        first = settled(first)
+        allowed = F.col("r") <= F.col("left")
+        ends = first.groupBy("query", "left").agg(F.max(F.when(allowed, F.col("place"))).alias("last"), F.max(F.when(~allowed, F.col("place"))).alias("stop"), F.sum(allowed.cast("int")).alias("found"))
+        ends = front.groupBy("query").agg(F.max("node").alias("end")).join(ends, "query")
+        # the last place looked at: where one node more would be too many, that node's edge if the same list leads to it, else the end of the last allowed one's list;
+        # where the budget is just spent, the end of that list if nodes of the front are left
+        spent = F.col("stop").isNotNull() | ((F.col("found") == F.col("left")) & (F.col("end") > F.col("last.at")))
+        ends = settled(ends.withColumn("spent", spent).select("query", "last", "stop", "found", "spent"))
+        cut = ends.filter("spent").select("query", "last", "stop")
+        own = F.when(F.col("stop.at") == F.col("last.at"), F.col("place") <= F.col("stop")).otherwise(F.col("at") <= F.col("last.at"))
+        scanned.append(met.join(cut, "query", "left").filter(F.col("last").isNull() | own).select("query", "at", "to", "predicate", "statement_id", F.lit(d).alias("depth"), "place"))
+        ended.append(cut.select("query"))
+        fronts.append(settled(first.filter(allowed).select("query", "node", F.lit(d).alias("depth"))))
+        seen = settled(seen.join(ends.select("query", "found"), "query", "left").select("query", (F.col("seen") + F.coalesce("found", F.lit(0))).alias("seen")))
+    none = walk.limit(0).crossJoin(fronts[0].limit(0).select("query")).select("query", "at", "to", "predicate", "statement_id", F.lit(0).alias("depth"), place.alias("place"))
+    return Walk(reduce(DataFrame.unionByName, fronts), reduce(DataFrame.unionByName, scanned, none), reduce(DataFrame.unionByName, ended).distinct() if ended else fronts[0].select("query").limit(0))
+
+
+def bounded(edges: DataFrame, seeds: DataFrame, depth: int, most: int, direction: str = "both", predicates: Column | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """One walk from seeds (node): nodes, edges, and whether the budget ended it."""
+    out = walks(edges, seeds.select(F.lit(0).alias("query"), "node"), depth, most, direction, predicates)
+    return out.nodes.drop("query"), out.edges.drop("query"), bool(out.truncated.limit(1).count())
 
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

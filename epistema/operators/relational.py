@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,6 +121,53 @@ def predecessors(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("predecessor", F.lag(value).over(Window.partitionBy(key).orderBy(order)))
 
 
+def occurrence_ids(rows: DataFrame, source: str, key: str, order: str, content: str) -> DataFrame:
+    """Rows with ``predecessor`` and ``occurrence_id``, the hash of source, key, the id of the row before it in its key, and content.
+
+    Rows are range-partitioned by key and order, so a key with many rows spans several partitions. Such a key is chained part by part: a round takes
+    the next part of every key, with the last id of the part before, so rounds are as many as partitions that one key spans, one for most.
+    A task hashes its rows as they come, in order, and holds one id.
+    """
+    from epistema.plans.storage import settled
+
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    placed = rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order).withColumn("__place", F.monotonically_increasing_id())
+    placed = settled(placed.withColumn("__part", F.shiftrightunsigned("__place", 33)))
+    runs = placed.select(key, "__part").distinct().withColumn("__round", F.row_number().over(Window.partitionBy(key).orderBy("__part")))
+    runs = settled(runs)
+    rounds = runs.agg(F.max("__round")).first()[0] or 0
+    kinds = dict(rows.dtypes)
+    names = f"__place long, predecessor string, occurrence_id string, __key {kinds[key]}"
+
+    def chain(batches):
+        at, last = object(), None
+        for pdf in batches:
+            out = []
+            for k, text, hashed, before in zip(pdf["__key"], pdf["__text"], pdf["__content"], pdf["__before"], strict=True):
+                if k != at:
+                    at, last = k, before
+                ident = hashlib.sha256(f"{source}|{text}|{last or ''}|{hashed}".encode()).hexdigest()
+                out.append((last, ident))
+                last = ident
+            yield pd.DataFrame({"__place": pdf["__place"], "predecessor": [a for a, _ in out], "occurrence_id": [b for _, b in out], "__key": pdf["__key"]})
+
+    found, carry = [], spark.createDataFrame([], f"__key {kinds[key]}, __before string")
+    for r in range(1, rounds + 1):
+        own = placed.join(runs.filter(F.col("__round") == r).select(key, "__part"), [key, "__part"])
+        own = own.select("__place", F.col(key).alias("__key"), F.col(key).cast("string").alias("__text"), F.col(content).cast("string").alias("__content")).join(carry, "__key", "left")
+        done = settled(own.repartition("__key").sortWithinPartitions("__key", "__place").mapInPandas(chain, names))
+        carry = done.groupBy("__key").agg(F.max_by("occurrence_id", "__place").alias("__before"))
+        found.append(done.drop("__key"))
+    if not found:
+        return rows.withColumn("predecessor", F.lit(None).cast("string")).withColumn("occurrence_id", F.lit(None).cast("string"))
+    return placed.join(reduce(DataFrame.unionByName, found), "__place").drop("__place", "__part")
+
+
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 

@@ -48,9 +48,11 @@ def contradictions(beliefs: DataFrame, assertions: DataFrame) -> DataFrame:
     return assertions.join(bad, "statement_id", "left_semi").groupBy("subject_id", "predicate", "statement_id").agg(listed(1).alias("affirmed_by"), listed(-1).alias("denied_by"))
 
 
-def merges_in_force(events: DataFrame) -> DataFrame:
-    """Of merge events (loser, winner, decided_at, undone_at) the last of each loser, if it was not undone."""
-    return rel.latest(events, ["loser"], "decided_at", "winner").filter("undone_at is null").select("loser", "winner")
+def merges_in_force(events: DataFrame, at: int | None = None) -> DataFrame:
+    """Of merge events (loser, winner, decided_at, undone_at) the last of each loser, if it was not undone; at: as decided and undone up to then."""
+    undone = F.col("undone_at").isNotNull() if at is None else F.coalesce(F.col("undone_at") <= at, F.lit(False))
+    made = events if at is None else events.filter(F.col("decided_at") <= at)
+    return rel.latest(made, ["loser"], "decided_at", "winner").filter(~undone).select("loser", "winner")
 
 
 def merge_closure(merges: DataFrame, most: int = 32) -> DataFrame:
@@ -69,6 +71,18 @@ def merge_closure(merges: DataFrame, most: int = 32) -> DataFrame:
     raise ValueError("merges form a cycle")
 
 
+def beliefs_of(entities: DataFrame, beliefs: DataFrame, closure: DataFrame) -> DataFrame:
+    """entity_id and the beliefs of its whole group: all entities with the same end of their merges, whichever of them is asked for.
+
+    closure: (entity_id, canonical) of ``merge_closure``. The log and the beliefs stay as they are, so a split shows as soon as the closure leaves it out.
+    """
+    group = closure.unionByName(closure.select(F.col("canonical").alias("entity_id"), "canonical").distinct())
+    asked = entities.select("entity_id").distinct().join(group, "entity_id", "left").select("entity_id", F.coalesce("canonical", "entity_id").alias("canonical"))
+    alone = asked.select(F.col("canonical").alias("entity_id"), "canonical").distinct().join(group.select("entity_id"), "entity_id", "left_anti")
+    members = group.unionByName(alone).select(F.col("entity_id").alias("subject_id"), "canonical")
+    return asked.join(members, "canonical").join(beliefs, "subject_id").drop("canonical")
+
+
 def uncertainty(beliefs: DataFrame, ages: DataFrame, key: str) -> DataFrame:
     """Score of how doubtful the beliefs of a key are. ages: (key, age_days) of its oldest episode."""
     counts = beliefs.groupBy(key).agg(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
 
@@ -98,6 +101,35 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return vectors.select(key, F.round(1 - distance(F.col(column), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest_all(vectors: DataFrame, queries: DataFrame, k: int, most: int = 2_000) -> DataFrame:
+    """query, id, score: the k vectors (id, embedding) of highest score 1 - distance for each query (query, embedding), then of least id.
+
+    At most ``most`` queries are sent to all tasks at once; each batch of vectors keeps its own k for each query, so k rows a batch and query are shuffled.
+    """
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes)
+    asked = [(r.query, r.embedding) for r in queries.limit(most + 1).collect()]
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries at once")
+    names, matrix = np.array([q for q, _ in asked]), np.array([v for _, v in asked], float)
+    sent = spark.sparkContext.broadcast((names, matrix))
+
+    def run(batches):
+        names, matrix = sent.value
+        for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
+            own = np.stack(pdf.embedding.to_numpy()).astype(float)
+            ids = pdf.id.to_numpy()
+            for q, v in zip(names, matrix, strict=True):
+                score = np.round(1 - np.sqrt(((own - v) ** 2).sum(1)), 6)
+                at = np.lexsort((ids, -score))[:k]
+                yield pd.DataFrame({"query": q, "id": ids[at], "score": score[at]})
+
+    found = vectors.select("id", "embedding").mapInPandas(run, f"query {dict(queries.dtypes)['query']}, id {kinds['id']}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r")
+
+
 def unit(v: Column) -> Column:
     n = F.sqrt(dot(v, v))
     return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))

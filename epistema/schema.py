@@ -26,6 +26,21 @@ ONTOLOGY = [
     ("rumored_knows", "entity", "Person", "multi", "interval", "coexist", False, None, False, 0.3),
 ]
 
+#: The types of entity that the objects of built-in predicates may have.
+OBJECT_TYPES = {
+    "employed_by": "Organization",
+    "works_on": "Project",
+    "born_in": "Place",
+    "knows": "Person",
+    "member_of": "Organization",
+    "part_of": "Organization,Project",
+    "located_in": "Place",
+    "has_skill": "Concept",
+    "created_by": "Person",
+    "allegedly_employed_by": "Organization",
+    "rumored_knows": "Person",
+}
+
 
 def ontology(spark: SparkSession) -> DataFrame:
     """The built-in predicates as a table."""

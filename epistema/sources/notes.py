@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from epistema.functions.scalars import content_hash
 from epistema.operators import relational as rel
@@ -30,11 +34,55 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def watch(spark: SparkSession, folder: str) -> DataFrame:
-    """The notes as a stream; start it with a processing-time trigger as quiet period."""
+    """The notes as a stream, each file whenever it is new or was modified; ``settled`` waits until a path is quiet."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(folder)
     return _kept(files, folder)
 
 
+SETTLED = "path string, modified long, content string"
+
+
+class _Quiet(StatefulProcessor):
+    """Keeps the last state of a path, and gives it once nothing has come for the quiet time."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "modified bigint, content string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        for pdf in rows:
+            row = pdf.sort_values("modified").iloc[-1]
+            if held is None or int(row.modified) >= held[0]:
+                held = (int(row.modified), None if row.content is None else str(row.content))
+        self.last.update(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame(columns=["path", "modified", "content"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        modified, content = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"path": [key[0]], "modified": [modified], "content": [content]})
+
+    def close(self) -> None:
+        pass
+
+
+def settled(notes: DataFrame, quiet_ms: int = 2000) -> DataFrame:
+    """Of a stream of notes (path, content, modified), each once nothing has changed at its path for the quiet time, in its last state.
+
+    A burst of changes gives one row. What waits is state, by path, in RocksDB: a restart from the checkpoint goes on waiting and gives nothing twice. Needs
+    ``spark.sql.streaming.stateStore.providerClass`` of RocksDB and a trigger by processing time, as timers go off between batches.
+    """
+    rows = notes.select("path", "modified", "content")
+    return rows.groupBy("path").transformWithStateInPandas(_Quiet(quiet_ms), SETTLED, "update", "processingTime")
+
+
 def sync(files: DataFrame, events: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notes to ingest (new or modified, with their text), and a count of each state."""
     hashed = files.withColumn("hash", content_hash(F.col("content")))

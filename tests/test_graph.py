@@ -69,25 +69,30 @@ def walked(edges, seeds, depth, most, direction, allowed):
     return seen, found, False
 
 
-@pytest.mark.parametrize("direction", ["out", "in", "both"])
-def test_bounded_walks_are_those_node_by_node(spark, direction):
-    rng = random.Random(direction)
+def test_bounded_walks_are_those_node_by_node(spark):
+    rng = random.Random(1)
+    names = [f"n{i:02}" for i in range(24)]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice("pqr"), f"s{i:03}") for i in range(40)]
+    table = spark.createDataFrame(edges, "src string, dst string, predicate string, statement_id string")
+    starts = {q: rng.sample(names, rng.choice([1, 2, 4])) for q in range(12)}
+    seeds = spark.createDataFrame([(q, n) for q, own in starts.items() for n in own], "query int, node string")
     flags = set()
-    for most in (1, 3, 5, 8, 13, 200):
-        names = [f"n{i:02}" for i in range(24)]
-        edges = [(rng.choice(names), rng.choice(names), rng.choice("pqr"), f"s{i:03}") for i in range(40)]
-        seeds = rng.sample(names, rng.choice([1, 2, 4]))
-        allowed = rng.choice([["p", "q", "r"], ["p", "q"]])
-        got = graph.bounded(spark.createDataFrame(edges, "src string, dst string, predicate string, statement_id string"), spark.createDataFrame([(n,) for n in seeds], "node string"), 3, most, direction, F.col("predicate").isin(*allowed))
-        nodes, found, truncated = walked(edges, seeds, 3, most, direction, allowed)
-        assert {r.node: r.depth for r in got.nodes.collect()} == nodes
-        assert [tuple(r) for r in got.edges.orderBy("depth", "place").drop("place").collect()] == found
-        assert got.truncated == truncated
-        flags.add(truncated)
+    for most, direction, allowed in ((1, "both", "pqr"), (4, "out", "pq"), (6, "both", "pqr"), (9, "in", "pqr"), (200, "both", "pr")):
+        got = graph.walks(table, seeds, 3, most, direction, F.col("predicate").isin(*allowed))
+        nodes, found, ended = got.nodes.collect(), got.edges.orderBy("query", "depth", "place").drop("place").collect(), {r.query for r in got.truncated.collect()}
+        for q, own in starts.items():
+            want = walked(edges, own, 3, most, direction, allowed)
+            assert {r.node: r.depth for r in nodes if r.query == q} == want[0]
+            assert [tuple(r)[1:] for r in found if r.query == q] == want[1]
+            assert (q in ended) == want[2]
+            flags.add(want[2])
     assert flags == {True, False}
+    one = graph.bounded(table, seeds.filter("query = 3").select("node"), 2, 7)
+    want = walked(edges, starts[3], 2, 7, "both", "pqr")
+    assert {r.node: r.depth for r in one[0].collect()} == want[0] and one[1].count() == len(want[1]) and one[2] == want[2]
 
 
 def test_a_walk_from_nowhere(spark):
     none = spark.createDataFrame([], "src string, dst string, predicate string, statement_id string")
-    got = graph.bounded(none, spark.createDataFrame([("a",), ("a",)], "node string"), 2, 5)
-    assert [tuple(r) for r in got.nodes.collect()] == [("a", 0)] and not got.edges.count() and not got.truncated
+    nodes, edges, truncated = graph.bounded(none, spark.createDataFrame([("a",), ("a",)], "node string"), 2, 5)
+    assert [tuple(r) for r in nodes.collect()] == [("a", 0)] and not edges.count() and not truncated

@@ -135,3 +135,60 @@ def test_a_search_reads_the_partitions_of_its_terms(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(idx" in plan and "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert "PushedFilters" in plan and "term" in plan.split("PushedFilters:")[1].split("]")[0]
     assert [r.id for r in rows.collect()] == ["3"]
+
+
+def test_a_derived_episode_for_each_set_of_members(spark, tmp_path):
+    from epistema.plans.consolidate import Consolidation
+
+    rows = [("s1", 1), ("s1", 2), ("s2", 2), ("s2", 3), ("s3", 7), ("s4", 8), ("s4", 9)]
+    schema = "statement_id string, episode_id long, subject_id string, object string"
+    table = lambda rows: spark.createDataFrame([(s, e, f"e:{s}", f"o:{e}") for s, e in rows], schema)
+    episodes = spark.createDataFrame([(i, f"First of {i}. More.", 0) for i in range(12)], "episode_id long, content string, ingested_at long")
+    beliefs = spark.createDataFrame([("e:s1", "contradicted", 1, 0), ("e:s2", "active", 3, 0)], "subject_id string, status string, distinct_episodes long, n_untrusted long")
+    store = Consolidation(spark, folder(tmp_path))
+    assert store.run(table(rows), episodes, beliefs, "x", 0) == 2
+    first = {r.text: (r.n_members, r.uncertainty) for r in store.derived().collect()}
+    # of two beliefs one is contradicted, one has a single episode
+    assert first == {"First of 1.\nFirst of 2.\nFirst of 3.": (3, round(0.4 * 0.5 + 0.25 * 0.5, 6)), "First of 8.\nFirst of 9.": (2, 0.0)}
+    of = {r.episode_id: r.n_members for r in store.derived().collect()}
+    assert sorted((of[r.from_episode], r.to_episode, r.rel) for r in store.links().collect()) == [(2, "8", "summarizes"), (2, "9", "summarizes"), (3, "1", "summarizes"), (3, "2", "summarizes"), (3, "3", "summarizes")]
+    assert store.run(table(list(reversed(rows))), episodes, beliefs, "x", 5) == 0
+    assert store.run(table([*rows, ("s4", 10)]), episodes, beliefs, "x", 5) == 1
+    assert store.run(table(rows), episodes, beliefs, "other", 5) == 2
+    assert store.derived().count() == 5
+
+
+def test_occurrence_ids_are_those_of_one_chain(spark):
+    import hashlib
+
+    from epistema.operators import relational as rel
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", "c"]), n, f"c{rng.randrange(9)}") for n in range(300)]
+    want, last = set(), {}
+    for key, n, content in sorted(rows, key=lambda r: r[1]):
+        ident = hashlib.sha256(f"src|{key}|{last.get(key, '')}|{content}".encode()).hexdigest()
+        want.add((key, n, last.get(key), ident))
+        last[key] = ident
+    df = spark.createDataFrame(rows, "path string, seq long, content string").repartition(5)
+    got = rel.occurrence_ids(df, "src", "path", "seq", "content")
+    assert {(r.path, r.seq, r.predecessor, r.occurrence_id) for r in got.collect()} == want
+    assert rel.occurrence_ids(df.limit(0), "src", "path", "seq", "content").count() == 0
+
+
+def test_any_name_of_a_merged_group_has_its_beliefs(spark):
+    from epistema.operators import temporal
+
+    events = spark.createDataFrame([("a", "b", 1, None), ("b", "c", 2, 9), ("x", "y", 3, None)], "loser string, winner string, decided_at long, undone_at long")
+    beliefs = spark.createDataFrame([(s, f"of {s}") for s in "abcxyz"], "subject_id string, statement_id string")
+    asked = spark.createDataFrame([(s,) for s in "abcxzq"], "entity_id string")
+
+    def said(at):
+        out = {}
+        for r in temporal.beliefs_of(asked, beliefs, temporal.merge_closure(temporal.merges_in_force(events, at))).collect():
+            out.setdefault(r.entity_id, set()).add(r.subject_id)
+        return out
+
+    assert said(5) == {"a": set("abc"), "b": set("abc"), "c": set("abc"), "x": set("xy"), "z": {"z"}}
+    assert said(9) == {"a": set("ab"), "b": set("ab"), "c": {"c"}, "x": set("xy"), "z": {"z"}}
+    assert said(1) == {"a": set("ab"), "b": set("ab"), "c": {"c"}, "x": {"x"}, "z": {"z"}}

@@ -148,20 +148,72 @@ def test_chunks_cover(spark):
         assert all(b - a <= 16 for a, b in spans)
 
 
-def test_mentions():
-    assert extract._place("Zoë met Ann", "Ann", None, [9, 12]) == (9, 12)
-    assert extract._place("Zoë met Ann", "Ann", None, [8, 11]) == (9, 12)
-    assert extract._place("Zoë met Ann", "Bob", None, [8, 11]) is None
-    assert extract._place("x Ann y", "Ann", "Ann y", None) == (2, 5)
+def placed(content, surface, quote, span):
+    """The rules for one mention, step by step on bytes."""
+    raw, low = content.encode(), lambda x: bytes(c + 32 if 65 <= c < 91 else c for c in x)
+    s = surface.encode()
+    if quote is not None:
+        at = raw.find(quote.encode())
+        if not s or at < 0:
+            return None
+        inside = quote.encode().find(s)
+        inside = inside if inside >= 0 else low(quote.encode()).find(low(s))
+        return None if inside < 0 else (at + inside, at + inside + len(s), raw[at + inside : at + inside + len(s)].decode())
+    a, b = span or (0, 0)
+    if a <= b <= len(raw) and raw[a:b] == s:
+        return a, b, surface
+    if a <= b <= len(content) and a < len(content) and content[a:b] == surface:
+        start = len(content[:a].encode())
+        return start, start + len(s), surface
+    if a <= b <= len(raw) and low(raw[a:b]) == low(s):
+        return a, b, raw[a:b].decode()
+    return None
+
+
+def test_mentions(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [("Zoë met Ann", "Ann", None, [9, 12]), ("Zoë met Ann", "Ann", None, [8, 11]), ("Zoë met Ann", "Bob", None, [8, 11]), ("x Ann y", "Ann", "Ann y", None), ("x Ann y", "ANN", "Ann y", [0, 1]), ("x", "", "x", None), ("", "a", "", None), ("ab", "ab", "zz", [0, 2])]
+    alphabet = ["a", "B", "b", "é", "日", " ", "😀"]
+    for _ in range(400):
+        c = "".join(rng.choice(alphabet) for _ in range(rng.randrange(9)))
+        i, j = sorted((rng.randrange(len(c) + 1), rng.randrange(len(c) + 1)))
+        surface = rng.choice([c[i:j], c[i:j].swapcase() if c[i:j].isascii() else c[i:j], "b"])
+        start = rng.choice([i, len(c[:i].encode()), i + 1])
+        quote = rng.choice([None, None, c[max(0, i - 1) : j + 1], "zz"])
+        if surface:
+            rows.append((c, surface, quote, rng.choice([[start, start + len(surface)], [start, start + len(surface.encode())], None])))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, s string, q string, p array<bigint>")
+    got = {r.k: tuple(r.at) if r.at else None for r in df.select("k", extract.place(F.col("c"), F.col("s"), F.col("q"), F.col("p")).alias("at")).collect()}
+    assert got == {k: placed(*r) for k, r in enumerate(rows)}
+    assert sum(v is not None for v in got.values()) > 100
 
 
 def test_claims(spark):
-    good = {"predicate": "knows", "subject": {"surface": "Ann", "entity_type": "Person"}, "object": {"kind": "entity", "surface": "Bob"}, "polarity": "affirm", "confidence": 0.5}
+    good = {"predicate": "knows", "subject": {"surface": "ann", "entity_type": "Person", "quote": "Ann knows"}, "object": {"kind": "entity", "mention": {"surface": "Bob", "entity_type": "Person", "span": [10, 13]}}, "polarity": "affirm", "confidence": 0.5}
     bad = good | {"predicate": "nope", "confidence": 2}
     rows = spark.createDataFrame([(1, "Ann knows Bob", "x", 0, "trusted", json.dumps({"claims": [good, bad]}))], "episode_id long, content string, extractor_id string, recorded_at long, trust string, raw_response string")
     ok, wrong = extract.quarantine(extract.checked(extract.claims(rows), ontology(spark)))
     assert [r.subject_id for r in extract.project(ok).collect()] == ["ann"]
-    assert sorted(wrong.first().errors) == ["confidence_out_of_range", "unknown_predicate"]
+    assert wrong.first().errors == ["confidence_out_of_range", "unknown_predicate"]
+    claim = ok.first().claim
+    assert (claim.subject.surface, claim.subject.span, claim.object.surface, claim.object.span) == ("Ann", [0, 3], "Bob", [10, 13])
+    text = {"predicate": "full_name", "subject": good["subject"], "object": {"kind": "literal", "literal_type": "text", "value": "BOB", "quote": "Bob"}, "confidence": 1.0}
+    more = [
+        (good | {"object": {"kind": "entity", "mention": {"surface": "Bob", "entity_type": "Place", "span": [10, 13]}}}, ["object_type"]),
+        (good | {"subject": {"surface": "Ann", "entity_type": "Place", "span": [4, 7]}}, ["subject_type", "subject_not_verbatim"]),
+        (good | {"predicate": "full_name"}, ["object_type"]),
+        (text, []),
+        (text | {"object": text["object"] | {"literal_type": "date"}}, ["object_type"]),
+        (text | {"object": text["object"] | {"quote": "Ann"}}, ["object_not_verbatim"]),
+        (text | {"object": {"kind": "literal", "literal_type": "text", "value": "x", "span": [3, 99]}}, ["span_out_of_bounds"]),
+        (text | {"predicate": "size_of", "object": text["object"] | {"value": "Bob"}}, ["object_type"]),
+        (text | {"predicate": "size_of", "object": {"kind": "literal", "literal_type": "any", "value": "large", "span": [0, 3]}}, []),
+    ]
+    own = ontology(spark).withColumn("object_types", F.when(F.col("name") == "knows", "Person")).unionByName(spark.createDataFrame([("size_of", "enum", "Person", "small,large")], "name string, object_kind string, subject_types string, object_types string"), allowMissingColumns=True)
+    rows = spark.createDataFrame([(i, "Ann knows Bob", json.dumps({"claims": [c]})) for i, (c, _) in enumerate(more)], "episode_id long, content string, raw_response string")
+    assert {r.episode_id: r.errors for r in extract.checked(extract.claims(rows), own).collect()} == {i: e for i, (_, e) in enumerate(more)}
 
 
 def test_pack(spark):
