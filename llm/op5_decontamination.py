@@ -282,8 +282,19 @@ def best_span(item: np.ndarray, text: np.ndarray, span: int, least: int) -> tupl
     return (best, first) if best >= least else (0, 0)
 
 
-def _search(batch: Batch, hashes: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, int]]:
-    """(document, item) to (cosine, share of the item found, first word)."""
+def looks(batch: Batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each item the buckets of its words, and places of its rarest fifth."""
+    out = []
+    for item in batch.items:
+        bucket = _bucket(item.words)
+        out.append((bucket, np.argsort(-batch.idf[bucket], kind="stable")[: max(1, len(bucket) // 5)]))
+    return out
+
+
+def _search(batch: Batch, hashes: np.ndarray, bounds: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> dict[tuple[int, int], tuple[float, float, int]]:
+    """(document, item) to (cosine, share of the item found, first word). known: ``looks`` of the batch."""
+    known = looks(batch) if known is None else known
+    there = np.zeros(len(batch.idf), bool)
     bucket = _bucket(hashes)
     mass = np.concatenate(([0.0], np.cumsum(batch.idf[bucket].astype(np.float64) ** 2)))
     found: dict[tuple[int, int], tuple[float, float, int]] = {}
@@ -314,9 +325,13 @@ def _search(batch: Batch, hashes: np.ndarray, bounds: np.ndarray) -> dict[tuple[
                     continue
                 span = n + max(4, n // 2)
                 lo, hi = max(int(bounds[d]), int(start[w[i]]) - span), min(int(bounds[d + 1]), int(end[w[i]]) + span)
-                text = hashes[lo:hi]
+                text, (words, rare) = hashes[lo:hi], known[owner[q]]
+                there[bucket[lo:hi]] = True
+                here = there[words]  # words whose bucket is there, a word that is there among them
+                there[bucket[lo:hi]] = False
+                if here.sum() < LCS * n or here[rare].mean() < ANSWER:
+                    continue
                 here = np.isin(item.words, text)
-                rare = np.argsort(-batch.idf[_bucket(item.words)], kind="stable")[: max(1, n // 5)]
                 if here.sum() < LCS * n or here[rare].mean() < ANSWER:
                     continue
                 best, first = best_span(item.words, text, span, int(np.ceil(LCS * n)))
@@ -332,11 +347,12 @@ def search(docs: DataFrame, index: Batch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Batch = sent.value
+        known = looks(own)
         for batch in batches:
             rows = []
             ids = batch.column("doc_id")
             for a, hashes, bounds in _each(batch):
-                for (d, i), (cosine, lcs, first) in sorted(_search(own, hashes, bounds).items()):
+                for (d, i), (cosine, lcs, first) in sorted(_search(own, hashes, bounds, known).items()):
                     rows.append((ids[a + d].as_py(), own.items[i].item_id, cosine, lcs, first))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
