@@ -9,18 +9,21 @@ length of the text.
 
 Terms and weights are learned from at most ``SAMPLE`` labelled rows, those with the least
 hash of their id among the rows whose crc32(doc_id) mod 5 is not 0: words
-that at least ``LEAST_DOCS`` toxic rows hold, whose log odds are high and beyond chance. Exceptions are given,
-and two-word phrases around a term are added that only clean rows hold.
+that at least ``LEAST_DOCS`` toxic rows hold, whose log odds are high and beyond chance, however many there are in that sample. Exceptions are
+given, and two-word phrases around a term are added that only clean rows hold.
 labels, lang, source and doc_id take no part in scoring.
 Null or empty text matches nothing and gets the score of a text without terms;
-without labels to learn from no text is toxic. Repeated rows and null ids are scored alike.
+without labels to learn from no text is toxic. Repeated rows and null ids are scored alike. Time and memory of a text grow with its length;
+columns with other names are ignored, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, LEAST_DOCS, TERMS, LEAST_WEIGHT = 16_000, 3, 20_000, 2.0
+SAMPLE, LEAST_DOCS, LEAST_WEIGHT = 16_000, 3, 2.0
 #: Least likelihood ratio of a term against chance, so that rare words of a few toxic rows are none.
 SIGNIFICANT = 24.0
 #: Signs and digits put for letters.
@@ -103,9 +106,11 @@ class Matcher:
             return 0, 0.0
         hits, safe = [], []
         for end, (size, weight) in self.automaton.iter(folded):
-            (hits if weight is not None else safe).append((end - size, end, weight))
-        if safe:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
+            (hits.append((end - size, end, weight)) if weight is not None else safe.append((end - size, end, 0.0)))
+        if safe:  # the farthest end of the exceptions that start up to a term's start tells whether one covers it
+            safe.sort()
+            starts, ends = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
         return len(hits), sum(h[2] for h in hits)
 
     def features(self, text: str | None) -> tuple[int, float, int]:
@@ -151,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     both, share = F.col("toxic") + F.col("clean"), n1 / (n1 + n0)
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0)) if n0 else F.lit(SIGNIFICANT)
     top = counts.filter((F.col("word") != "") & (F.col("toxic") >= LEAST_DOCS)).withColumn("w", odds).filter((F.col("w") >= LEAST_WEIGHT) & (ratio >= SIGNIFICANT))
-    terms = {r.word: float(r.w) for r in top.orderBy(F.desc("toxic"), "word").limit(TERMS).collect()}
+    terms = {r.word: float(r.w) for r in top.orderBy(F.desc("toxic"), "word").collect()}
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -165,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([seen[1][p] for p in both], pa.int64()), pa.array([seen[0][p] for p in both], pa.int64())], names=["phrase", "toxic", "clean"])
 
     safe = rows.mapInArrow(phrases, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    safe = [r.phrase for r in safe.filter(f"toxic = 0 and clean >= {LEAST_DOCS}").orderBy(F.desc("clean"), "phrase").limit(TERMS).collect()]
+    safe = [r.phrase for r in safe.filter(f"toxic = 0 and clean >= {LEAST_DOCS}").orderBy(F.desc("clean"), "phrase").collect()]
     own = Lexicon(terms, (*exceptions, *safe), (0.0, 0.0, 0.0))
     found, words, toxic = [], [], []
 
