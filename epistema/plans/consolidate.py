@@ -16,8 +16,7 @@ from pyspark.sql.window import Window
 from epistema.functions.scalars import content_id
 from epistema.operators import graph, temporal
 from epistema.operators import relational as rel
-from epistema.plans.storage import settled
-from epistema.streaming.ingest import exists
+from epistema.plans.storage import exists, settled
 
 DERIVED = "episode_id string, extractor_id string, fingerprint string, text string, n_members long, uncertainty double, made_at long, run string"
 LINKS = "from_episode string, to_episode string, rel string, run string"

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistema.operators import text
-from epistema.plans.storage import small
-from epistema.streaming.ingest import exists
+from epistema.plans.storage import exists, small
 
 POSTINGS = "term string, kind string, id string, gen string, length int, places array<int>, idx string, bucket int"
 DOCUMENTS = "kind string, id string, gen string, word_length int, gram_length int"

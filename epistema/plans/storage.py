@@ -29,3 +29,8 @@ def settled(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """The table marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistema.operators import fold
+from epistema.plans.storage import exists
 
 
 def once(stream: DataFrame, key: str = "assertion_id", delay: str = "1 hour", time: str = "arrived") -> DataFrame:
@@ -47,11 +48,6 @@ def run(stream: DataFrame, folder: str, ontology: DataFrame, checkpoint: str, av
     return (writer.trigger(availableNow=True) if available else writer.trigger(processingTime="2 seconds")).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def version(spark: SparkSession, folder: str) -> str | None:
     if not exists(spark, f"{folder}/current"):
         return None
