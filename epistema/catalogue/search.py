@@ -38,9 +38,7 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 )
 def _(spark, d):
     docs = fx.table(spark, d, "documents")
-    w = text.words(F.col("text"))
-    n, mean = text.size(docs, w)
-    return text.bm25(text.postings(docs, w), TERMS, n, mean)
+    return text.bm25_of(docs, text.words(F.col("text")), TERMS)
 
 
 @query("r2_trigram_match", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ation')")

@@ -23,8 +23,9 @@ def timeline(beliefs: DataFrame, assertions: DataFrame, entity: str, a: int, b:
 
 def difference(beliefs: DataFrame, a: int, b: int) -> DataFrame:
     """What changed between two valid times: added, removed, or changed in status or start."""
-    side = lambda t, n: beliefs.filter(rel.valid_at(t)).groupBy("statement_id").agg(F.max_by(F.struct("status", "valid_from"), F.struct("valid_from", "status")).alias(n))
-    both = side(a, "x").join(side(b, "y"), "statement_id", "full_outer")
+    # one aggregate for both times, so that the beliefs are made once
+    last = lambda t: F.max_by(F.when(rel.valid_at(t), F.struct("status", "valid_from")), F.when(rel.valid_at(t), F.struct("valid_from", "status")))
+    both = beliefs.filter(rel.valid_at(a) | rel.valid_at(b)).groupBy("statement_id").agg(last(a).alias("x"), last(b).alias("y"))
     change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when((F.col("x.status") != F.col("y.status")) | (F.col("x.valid_from") != F.col("y.valid_from")), "changed")
     return both.select("statement_id", change.alias("change"), F.col("x.status").alias("status_before"), F.col("y.status").alias("status_after")).filter("change is not null")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from epistema.plans.storage import settled
+
 K1, B = 1.2, 0.75
 
 
@@ -55,6 +59,30 @@ def bm25(index: DataFrame, query: list[str], n_docs: int, mean_length: float, ke
     return met.join(df, "term").groupBy(key).agg(F.count("*").alias("__n"), F.round(F.sum(part), 6).alias("score")).filter(F.col("__n") == len(terms)).drop("__n")
 
 
+def _is(term: str):
+    return lambda w: w == F.lit(term)
+
+
+def bm25_of(docs: DataFrame, tokens: Column, query: list[str], key: str = "doc_id", keep: Column | None = None) -> DataFrame:
+    """As ``bm25`` over ``postings``, of documents that are not indexed: key, score. keep: of those with all terms, which ones count as hits.
+
+    Each text is split once and its query terms counted in place; numbers are written, not texts, and one aggregate of them gives all statistics,
+    so nothing is shuffled.
+    """
+    terms = sorted(set(query))
+    count = lambda own: F.struct(F.size(own).alias("length"), *(F.size(F.filter(own, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    rows = docs.select(F.col(key).alias("__key"), (F.lit(True) if keep is None else keep).alias("__keep"), bound(tokens, count).alias("c"))
+    rows = settled(rows.select("__key", "__keep", "c.*"))
+    seen = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
+    n, mean = seen.n, seen.mean or 1.0
+    total, met = F.lit(0.0), F.col("__keep")
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), seen[f"df{i}"] or 0
+        total = total + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+        met = met & (tf > 0)
+    return rows.filter(met).select(F.col("__key").alias(key), F.round(total, 6).alias("score"))
+
+
 def size(docs: DataFrame, tokens: Column) -> tuple[int, float]:
     """Number of documents and their mean length in tokens."""
     row = docs.select(F.size(tokens).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("m")).first()

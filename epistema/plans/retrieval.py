@@ -49,10 +49,10 @@ def _hits(df: DataFrame, channel: str, query: str) -> DataFrame:
     return df.select(F.lit(query).alias("query"), F.lit(channel).alias("channel"), "kind", F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score"))
 
 
-def _lexical(docs: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:
+def _lexical(docs: DataFrame, tokens: Column, terms: list[str], keep: Column | None = None) -> DataFrame:
+    """BM25 with the statistics of all documents, whichever of them are hits."""
     keyed = docs.withColumn("__key", F.struct("kind", "id"))
-    n, mean = text.size(docs, tokens)
-    return text.bm25(text.postings(keyed, tokens, "__key"), terms, n, mean, "__key").select("__key.kind", "__key.id", "score")
+    return text.bm25_of(keyed, tokens, terms, "__key", keep).select("__key.kind", "__key.id", "score")
 
 
 def channels(corpus: Corpus, query: str, spec: Spec, vector: list[float] | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def channels(corpus: Corpus, query: str, spec: Spec, vector: list[float] | None
     grams = sorted({w[i : i + 3] for w in query.lower().split() for i in range(len(w) - 2)})
     if "trigram" in wanted and grams:
         good = reduce(lambda a, b: a & b, [F.contains(F.lower("text"), F.lit(w)) for w in query.lower().split() if len(w) >= 3], F.lit(True))
-        out.append(_hits(_lexical(docs.filter(good), text.grams(F.col("text")), grams), "trigram", query))
+        out.append(_hits(_lexical(docs, text.grams(F.col("text")), grams, good), "trigram", query))
     if "tfidf" in wanted and grams:
         n = docs.count()
         keyed = docs.withColumn("__key", F.struct("kind", "id"))
