@@ -174,26 +174,30 @@ def communities(weighted: DataFrame, rounds: int = 10, ordered: bool = True) ->
     both = weighted.select("src", "dst", "weight").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     if not ordered:
         return _synchronous(both, rounds)
-    walk = settled(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).repartition("dst"))
+    walk = settled(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))).repartition("dst").persist()  # of use for all rounds; lost parts are read again
     labels = settled(walk.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    # of those that vote again: in a round, the ones above a node whose label changed; at first, the ones below a node that the last round changed
+    beside = lambda moved, which: walk.join(small(moved.select(F.col("node").alias("dst"))), "dst").filter(which).select(F.col("src").alias("node")).distinct()
+    voters: DataFrame | None = None
     for _ in range(rounds):
-        new = old = labels
-        changed: DataFrame | None = None
+        old = new = labels
         while True:
-            # of those that vote (again): all at first, then the ones above a node whose label changed
-            voters = labels.select("node") if changed is None else walk.join(small(changed.select(F.col("node").alias("dst"))), "dst").filter("src > dst").select(F.col("src").alias("node")).distinct()
             seen = old.join(new.withColumnRenamed("label", "new"), "node").select(F.col("node").alias("dst"), "label", "new")
-            edges = walk.join(voters.withColumnRenamed("node", "src"), "src", "left_semi") if changed is not None else walk
+            edges = walk if voters is None else walk.join(small(voters.withColumnRenamed("node", "src")), "src", "left_semi")
             votes = edges.join(seen, "dst").select("src", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("label")).alias("label"), "weight")
             tally = votes.groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
-            voted = settled(tally.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("voted")))
+            voted = tally.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("voted"))
             changed = settled(voted.join(new, "node").filter("voted <> label").select("node", F.col("voted").alias("label")))
             if not changed.limit(1).count():
                 break
-            new = settled(new.join(changed, "node", "left_anti").unionByName(changed))
-        if not new.join(old, ["node", "label"], "left_anti").limit(1).count():
-            return new
+            new = settled(new.join(small(changed.select("node", F.col("label").alias("to"))), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+            voters = beside(changed, "src > dst")
         labels = new
+        moved = settled(new.join(old.withColumnRenamed("label", "was"), "node").filter("label <> was").select("node"))
+        if not moved.limit(1).count():
+            break
+        voters = settled(beside(moved, "src < dst"))
+    walk.unpersist()
     return labels
 
 
