@@ -23,24 +23,27 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and those whose words without digits the best language's model can't code in fewer bits than they have."""
+    """Drops texts without a letter, null and empty ones among them, and those that the best language's model codes in more bits than they
+    have by more than an allowance, whole and without words that hold a digit. Where no language was learned every text with a letter stays.
+    Repeated rows are judged alike; a text of any length is judged whole; an empty table stays empty.
+    """
     return op3_language_id.accepted(docs, op3_language_id.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near duplicates."""
+    """Keeps the least id of each group of near duplicates, with all rows that repeat it. Texts without words and rows with a null id are in no group and stay."""
     found = op1_ngram_jaccard.join(docs, SHINGLE, SIMILAR, OF)
     return _without(docs, shared.written(found.filter("doc_id <> component_id").select("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, by id: rows that repeat it go too. Null and empty texts and rows with a null id stay; without items all do."""
     found = op5_decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts <kind> in place of personal data; null texts stay null."""
+    """Puts <kind> in place of personal data, row by row; null texts stay null, and texts of any length are scanned whole."""
     model = op2_pii.learn(docs)
     found = op2_pii.find(docs, model, keep=docs.columns)
     text = op2_pii.redacted(F.col("text"), F.array_sort(F.concat("base", "added")))
@@ -48,7 +51,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text, the number of tokens and the ids of each text."""
+    """doc_id, text, the number of tokens and the ids of each text, row by row; a null text becomes the empty one without tokens."""
     return op7_byte_bpe.encode(docs).select("doc_id", F.col("decoded").cast("string").alias("text"), "n_tokens", "ids")
 
 
