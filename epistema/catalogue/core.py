@@ -179,7 +179,11 @@ def _(spark, d):
     return temporal.merge_closure(temporal.merges_in_force(events))
 
 
-@query("f18_reproject", None)
+#: Assertions that declarations make: an episode each, certain, from no extractor.
+DECLARED = "SELECT assertion_id, subject_id, {0} AS predicate, object, sha256(concat_ws('|', 's', subject_id, {0}, object)) AS statement_id, assertion_id AS episode_id, NULL::VARCHAR AS extractor_id, polarity, claimed_from, claimed_to, 1.0 AS confidence, recorded_at, NULL::BIGINT AS retracted_at, trust FROM raw"
+
+
+@query("f18_reproject", fx.refolded(DECLARED.format("predicate")) + f"SELECT {_ALL} FROM beliefs")
 def _(spark, d):
     from epistema.plans.rebuild import rebuild
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epistema import fixtures as fx
 from epistema.catalogue import query
-from epistema.catalogue.core import beliefs, visible
+from epistema.catalogue.core import BELIEF, DECLARED, beliefs, visible
 from epistema.fixtures import AT, DAY, FOLD, VALID, with_
 from epistema.functions import scalars as sc
 from epistema.operators import extract, graph, pack, rank, resolve, text
@@ -322,7 +322,7 @@ def _(spark, d):
     return fx.table(spark, d, "part").groupBy("p_brand").agg(sc.set_hash(F.collect_list("p_name"), "set:").alias("hash"))
 
 
-@query("x12_fnv1a", None)
+@query("x12_fnv1a", "SELECT p_partkey, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::UBIGINT)), lambda h, b: ((xor(h, b)::HUGEINT * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')) AS hash FROM part")
 def _(spark, d):
     return fx.table(spark, d, "part").select("p_partkey", sc.fnv1a(F.col("p_name")).alias("hash"))
 
@@ -484,7 +484,7 @@ def _(spark, d):
     return pack.verify(pack.revoke(t, "a"), "two", AT).select("name")
 
 
-@query("stream_dedup_refold", None)
+@query("stream_dedup_refold", fx.refolded() + f"SELECT {', '.join(BELIEF)} FROM beliefs")
 def _(spark, d):
     import uuid
 
@@ -514,7 +514,7 @@ def _(spark, d):
     return s.select("statement_id", F.col("subject_id").alias("subject_surface"), "predicate", F.when(F.col("object").startswith("obj:"), "entity").otherwise("text").alias("object_kind"), F.col("object").alias("object_surface"))
 
 
-@query("f15_f16_declarations", None)
+@query("f15_f16_declarations", fx.refolded(DECLARED.format("'mentors'") + " WHERE predicate = 'works_on'", predicates="('mentors', 'functional', 'interval', 'supersede', 'false', 1.0)") + "SELECT statement_id, valid_from, valid_to, status FROM beliefs")
 def _(spark, d):
     from epistema.plans import rebuild
 

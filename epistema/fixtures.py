@@ -135,3 +135,14 @@ def with_(*names: str, extra: str = "") -> str:
     """WITH clause of the named expressions."""
     parts = [SQL[n] for n in SQL if n in names] + ([extra] if extra else [])
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+def refolded(assertions: str | None = None, visible: str = "SELECT * FROM assertions", predicates: str = "") -> str:
+    """WITH clause of the fold over other assertions: a query on ``raw``, the fixture's; all that is recorded counts unless ``visible`` says otherwise."""
+    parts = {n: SQL[n] for n in SQL if n in FOLD}
+    if assertions is not None:
+        parts["assertions"] = parts["assertions"].replace("assertions AS (", "raw AS (", 1) + f",\nassertions AS ({assertions})"
+    if predicates:
+        parts["ontology"] = parts["ontology"][:-1] + f", {predicates})"
+    parts["visible"] = f"visible AS ({visible})"
+    return "WITH RECURSIVE " + ",\n".join(parts.values()) + "\n"
