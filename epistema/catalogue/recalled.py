@@ -103,3 +103,24 @@ def _(spark, d):
 @query("k5_contexts_of_questions", None)
 def _(spark, d):
     return recall.contexts(base(spark, d), asked(spark).withColumn("broad", F.col("query") == 1), 3000)
+
+
+_WHEN = "CASE WHEN valid_from <= -9223372036854775807 AND valid_to >= 9223372036854775806 THEN '' ELSE concat(' [', CASE WHEN valid_from <= -9223372036854775807 THEN concat('until ', valid_to) WHEN valid_to >= 9223372036854775806 THEN concat('since ', valid_from) ELSE concat(valid_from, ' to ', valid_to) END, ']') END"
+_LINES = f"""found AS (SELECT * FROM (SELECT query, kind, id, row_number() OVER (PARTITION BY query ORDER BY fused DESC, CASE kind WHEN 'statement' THEN 0 WHEN 'episode' THEN 1 ELSE 2 END, id) - 1 AS final_order
+  FROM (SELECT query, kind, id, round(fused * (1 + ln(1.0 + coalesce(distinct_episodes, 0))), 6) AS fused FROM fused LEFT JOIN facts USING (kind, id))) WHERE final_order < 10),
+said AS (SELECT b.*, t.object, replace(t.subject_id, ':', ' ') AS s, replace(t.object, ':', ' ') AS o, {_WHEN} AS span FROM beliefs b JOIN (SELECT statement_id, object, subject_id FROM told) t USING (statement_id)),
+now_ AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY statement_id ORDER BY valid_from DESC) = 1),
+profile AS (SELECT 'profile' AS layer, concat(s, ' ', predicate, ': ', o, span) AS line, -confidence AS k1, concat(statement_id, '|', valid_from) AS k2 FROM said WHERE status = 'active' AND confidence >= 0.5 AND predicate IN (SELECT name FROM ontology WHERE profile) ORDER BY confidence DESC, statement_id, valid_from LIMIT 30),
+recent AS (SELECT 'episodes' AS layer, text AS line, -doc_id::DOUBLE AS k1, doc_id::VARCHAR AS k2 FROM documents WHERE doc_id % 9 <> 0 AND text <> '' ORDER BY doc_id DESC LIMIT 20),
+derived AS (SELECT 'summaries' AS layer, concat(text, chr(10), '  sources: ', doc_id) AS line, -doc_id::DOUBLE AS k1, doc_id::VARCHAR AS k2 FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 10 = 0 AND text <> '' ORDER BY doc_id DESC LIMIT 5),
+shared AS (SELECT layer, line, row_number() OVER (PARTITION BY layer ORDER BY k1, k2) - 1 AS position FROM (SELECT * FROM profile UNION ALL SELECT * FROM recent UNION ALL SELECT * FROM derived)),
+top5 AS (SELECT query, id AS node FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY final_order) AS r FROM found WHERE kind = 'entity') WHERE r <= 5),
+edges_ AS (SELECT DISTINCT query, statement_id, subject_id, predicate, object, confidence FROM top5 JOIN now_ ON node = subject_id OR node = object WHERE status IN ('active', 'superseded'))
+SELECT query AS context_id, layer, position, line FROM asked, shared WHERE layer <> 'episodes' OR query = 1 OR position < 5
+UNION ALL SELECT query, 'beliefs', final_order, concat(s, ' ', predicate, ' ', o, span, ' (', status, ', ', printf('%.2f', confidence), ', ', distinct_episodes, ' episodes)') FROM found JOIN now_ ON kind = 'statement' AND id = statement_id
+UNION ALL SELECT query, 'neighborhood', position, concat(subject_id, ' -[', predicate, ']-> ', object, ' (', printf('%.2f', confidence), ')') FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, statement_id) - 1 AS position FROM edges_) WHERE position < 30"""
+
+
+@query("k5_context_lines", with_(*FOLD, extra=",\n".join((_Q, _ROWS, _CHANNELS.replace("rank < 80", "rank < 40"), _FACTS, _LINES))))
+def _(spark, d):
+    return recall.lines(base(spark, d), asked(spark).withColumn("broad", F.col("query") == 1), recall.Asked("lexical_vector", limit=10))
