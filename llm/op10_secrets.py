@@ -13,7 +13,7 @@ others by more than any change of transitions could make up are outside on
 every best path, so only the stretches between them are decoded.
 
 Tagged spans that touch no base span are added as kind ``crf``, without quotes and commas around them, if they
-hold a letter or sign beside digits and at least ``SHORTEST`` characters. Null or empty text
+have at least ``SHORTEST`` characters and are not of digits alone; a tagged plain word is added too. Null or empty text
 has no secrets. Rows are scanned alone, repeated rows and null ids too; an empty table gives no rows; a very long text
 is a slice of its own; other columns are ignored, whatever their names.
 """
