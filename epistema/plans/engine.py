@@ -40,7 +40,9 @@ class Engine:
         return temporal.beliefs_as_of(self.truth.assertions, self.truth.ontology, valid, known)
 
     def entity(self, name: str) -> DataFrame:
-        return self.beliefs.filter(F.col("subject_id") == name)
+        """Beliefs of an entity's whole group, by any name of it."""
+        asked = self.spark.createDataFrame([(name,)], "entity_id string")
+        return temporal.beliefs_of(asked, self.beliefs, self.truth.merges).drop("entity_id")
 
     def timeline(self, name: str, a: int, b: int) -> DataFrame:
         return temporal.timeline(self.truth.beliefs, self.truth.assertions, name, a, b)
@@ -57,10 +59,13 @@ class Engine:
     def edges(self, valid: int | None = None, floor: float = 0.0) -> DataFrame:
         b = self.beliefs.filter(F.col("status").isin("active", "superseded") & rel.confident(floor))
         b = b.filter(rel.valid_at(valid)) if valid is not None else b
-        return b.select(F.col("subject_id").alias("src"), F.col("object").alias("dst"), "predicate").distinct()
+        return b.select(F.col("subject_id").alias("src"), F.col("object").alias("dst"), "predicate", "statement_id").distinct()
 
-    def traverse(self, seeds: list[str], depth: int = 2, direction: str = "both", most: int | None = 256) -> tuple[DataFrame, DataFrame]:
-        return graph.traverse(self.edges(), self.spark.createDataFrame([(s,) for s in seeds], "node string"), depth, direction, most=most)
+    def traverse(self, seeds: list[str], depth: int = 2, direction: str = "both", most: int = 256, now: int = 0, day: int = 86_400_000_000) -> tuple[DataFrame, DataFrame, bool]:
+        """Nodes with depth and salience (that of the last activity as a subject, at ``now``), edges looked at, and whether ``most`` nodes ended the walk."""
+        nodes, edges, truncated = graph.bounded(self.edges(), self.spark.createDataFrame([(s,) for s in seeds], "node string"), depth, most, direction)
+        active = pack.decay(self.truth.assertions, now, day).select(F.col("subject_id").alias("node"), "salience")
+        return nodes.join(active, "node", "left").fillna(0.5, "salience"), edges, truncated
 
     def search(self, query: str, spec: retrieval.Spec | None = None) -> DataFrame:
         docs = rebuild.indexed(self.episodes, self.beliefs, self.surfaces)

@@ -246,3 +246,23 @@ def test_the_last_registration_of_a_predicate_counts(spark):
     assert sorted(tuple(r) for r in rebuild.predicates(base, more).collect()) == [("a", 1.0), ("b", 4.0), ("c", 3.0)]
     again = more.filter("seq = 2").drop("seq")
     assert rebuild.predicates(base, again.unionAll(again)).count() == 3
+
+
+def test_engine_answers_by_any_name_of_a_group(spark):
+    from epistema.plans.engine import Engine
+
+    schema = "seq long, op string, subject_id string, predicate string, object string, polarity int, valid_from long, valid_to long, at long, trust string"
+    say = lambda i, op, s, p, o: (i, op, s, p, o, 1, None, None, i, "trusted")
+    log = [say(1, "add_statement", "ann", "knows", "bob"), say(2, "add_statement", "annie", "knows", "cid"), say(3, "add_statement", "bob", "knows", "dee"), say(4, "merge", "annie", None, "ann")]
+    episodes = spark.createDataFrame([], "episode_id long, content string, redacted_at long")
+    surfaces = spark.createDataFrame([("ann", "Ann")], "entity_id string, surface string")
+    own = Engine(spark, spark.createDataFrame(log, schema), episodes, surfaces)
+    assert {r.object for r in own.entity("ann").collect()} == {r.object for r in own.entity("annie").collect()} == {"bob", "cid"}
+    assert {r.object for r in own.entity("bob").collect()} == {"dee"} and not own.entity("nobody").count()
+    nodes, edges, truncated = own.traverse(["ann"], 2)
+    assert {(r.node, r.depth) for r in nodes.collect()} == {("ann", 0), ("bob", 1), ("cid", 1), ("dee", 2)} and not truncated
+    assert edges.filter("depth = 1").count() == 2 and {r.salience for r in nodes.collect()} <= {0.5, 1.0}
+    assert own.traverse(["ann"], 2, most=2)[2]
+    split = own.declare(spark.createDataFrame([say(5, "split", "annie", None, "ann")], schema))
+    assert {r.object for r in split.entity("annie").collect()} == {"cid"} and {r.object for r in split.entity("ann").collect()} == {"bob"}
+    assert own.stats().first().entities == 2
