@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from llm import kernel, vocab, worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: What a task keeps at most: ids of units and of pieces, and pairs of tokens that may follow each other.
+UNITS, PIECES, PAIRS = 300_000, 60_000, 150_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -87,7 +89,7 @@ class Encoder:
             else:
                 before, right = right + 1, y[0]
         self.follows[key] = out
-        if len(self.follows) > 400_000:
+        if len(self.follows) > PAIRS:
             self.follows.clear()
         return out
 
@@ -169,7 +171,7 @@ class Prefixes:
 class Units:
     """Encodes units: splits them by the pattern and keeps the ids of pieces seen, at most ``most`` of them."""
 
-    def __init__(self, encoder: Encoder, pattern: str, most: int = 150_000) -> None:
+    def __init__(self, encoder: Encoder, pattern: str, most: int = PIECES) -> None:
         import regex
 
         self.encoder, self.split, self.most = encoder, regex.compile(pattern), most
@@ -218,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()
         encoder: Encoder = sent.value
-        cache = vocab.Cache(Units(encoder, pattern))
+        cache = vocab.Cache(Units(encoder, pattern), UNITS)
         flat, at = token_bytes(encoder)
         try:
             yield from each(batches, cache, flat, at)
