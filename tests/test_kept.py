@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from epistema.operators import resolve, text
 from epistema.plans import index
+from epistema.plans import keys as keys_module
 from epistema.plans.keys import Keys
 
 
@@ -76,6 +77,28 @@ def test_a_batch_reads_its_own_partitions(spark, tmp_path):
     assert {(r.mention_id, r.entity_id) for r in keys.resolve(later).collect()} == {(99, 99), (100, 3)}
 
 
+def test_a_crowded_band_is_not_compared_in_all_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    names = [f"Customer#{i:09}" for i in rng.sample(range(3000), 160)] + [f"Customer#{i:09}" for i in (11, 111, 1111, 11111, 22, 222, 2222)]
+    names += [f"the long and winding road to the town of {a} {b}" for a in ("leeds", "york", "yorks") for b in range(5)] + ["a", "b", "ab", "aab", "aaab", "the long and winding road to the town"]
+    rng.shuffle(names)
+    rows = [(i, "s", "Person", n.lower()) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "mention_id long, space string, type string, surface string")
+    s = text.shingles(F.col("surface"))
+    bands = {r.surface: set(r.b) if r.ok else set() for r in df.select("surface", resolve.bands(resolve.minhash(s)).alias("b"), (resolve.entropy(s) >= resolve.ENTROPY).alias("ok")).collect()}
+    want = one_by_one(rows, bands)
+    met, whole = [], keys_module._scored
+    monkeypatch.setattr(keys_module, "_scored", lambda r, on: met.append((on, r.groupBy(*on).count().agg(F.max("count")).first()[0])) or whole(r, on))
+    for crowd, size in ((64, len(rows)), (2, len(rows)), (2, 70)):
+        monkeypatch.setattr(keys_module, "CROWD", crowd)
+        keys, got = Keys(spark, folder(tmp_path), parts=4), {}
+        for a in range(0, len(rows), size):
+            got |= {r.mention_id: r.entity_id for r in keys.resolve(df.filter((F.col("mention_id") >= a) & (F.col("mention_id") < a + size))).collect()}
+        assert got == want
+    # all 167 numbered names shared a band, and each was compared with each
+    assert met[0][1] <= 64 and met[1][0] == ["space", "type", "mark"] and met[1][1] < 60
+
+
 def scores(docs, queries, idx):
     """BM25 of phrases by counting in the texts."""
     import re
