@@ -7,7 +7,7 @@ regression trees score each from its format and the words before it, and spans
 over a calibrated threshold that touch no base span are added; of added ones that
 overlap the higher score stays.
 
-Training takes about ``SAMPLE`` documents, chosen by hash. Their base finds are written
+Training takes all documents; those without a sign of a candidate or a base find have nothing to count. Base finds are written
 anew in ways the base's formats miss (``disguised``: an e-mail address with "[at]" and "dot", a
 telephone number without its plus sign, a card with other signs between its groups, an address of
 eight groups or with its dots in brackets), ``VARIANTS`` times each; of the candidates in these texts
@@ -60,7 +60,7 @@ CONTEXT = {
     5: r"(?i)(?:order|invoice|version|isbn|id\b|no\.|ref|date|page|room)",
 }
 FEATURES = ("digits", "groups", "signs", "parens", "context", "glued", "first", "last", "check")
-SAMPLE, TREES, RATE, PRECISION, LEAST, ENOUGH = 20_000, 30, 0.3, 0.97, 5.0, 20.0
+TREES, RATE, PRECISION, LEAST, ENOUGH = 30, 0.3, 0.97, 5.0, 20.0
 #: Ways in which each document with base finds is rewritten; spans to a block, and blocks to a group of them.
 VARIANTS, BLOCK = 8, 64
 _SPANS = "array<struct<start:int,end:int,value:string,before:string>>"
@@ -318,9 +318,10 @@ def _sql(tree: Tree | float, feature) -> Column:
     return F.when(feature(FEATURES[tree.feature]) <= tree.at, _sql(tree.low, feature)).otherwise(_sql(tree.high, feature))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Boosted]:
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // sample))) == 0)
+def learn(docs: DataFrame) -> dict[str, Boosted]:
+    # a text without these has neither a candidate nor a base find
+    signs = [F.col("text").cast("string").rlike(p) for p in (*NEEDS.values(), r"\+[0-9]")]
+    some = docs.filter(reduce(lambda a, b: a | b, signs))
     whole = F.array_sort(F.flatten(F.array(*(F.transform(f"b_{k}", _of(k, lambda kind, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))) for k in KINDS))))
     ways = _found(some).select("doc_id", "text", whole.alias("base")).withColumn("way", F.explode(F.when(F.size("base") > 0, F.sequence(F.lit(0), F.lit(VARIANTS - 1))).otherwise(F.array(F.lit(0)))))
     hidden = ways.select("doc_id", F.xxhash64("text").alias("of"), disguised(F.col("text"), F.col("base"), F.col("way")).alias("d")).select("doc_id", "of", "d.text", "d.truth")

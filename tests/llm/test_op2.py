@@ -82,3 +82,12 @@ def test_redaction_of_many_spans_is_that_one_by_one(spark):
                 out += text[at:a] + f"<{kind}>"
             at = max(at, b)
         assert got[i] == out + text[at:]
+
+
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    counted, whole = {}, op2_pii.boost
+    monkeypatch.setattr(op2_pii, "boost", lambda x, positive, total, held: counted.update({len(counted): total.sum()}) or whole(x, positive, total, held))
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("call 555 01"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"))).otherwise(F.lit("nothing"))
+    op2_pii.learn(spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    # a third of these before, as documents beyond 20,000 were chosen by hash
+    assert counted[op2_pii.KINDS.index("phone")] == 20_000
