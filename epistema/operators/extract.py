@@ -20,9 +20,14 @@ CLAIMS = f"claims array<struct<predicate:string,subject:struct<{_MENTION}>,objec
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _once(rows: DataFrame, *made: Column) -> DataFrame:
+    """Rows with further columns that are computed once: a projection would be merged with those after it and computed for each use and each filter."""
+    return rows.select("*", F.inline(F.array(F.struct(*made))))
+
+
 def claims(responses: DataFrame) -> DataFrame:
     """A row for each claim of responses (episode_id, content, raw_response). An object's mention may stand in it or under ``mention``."""
-    parsed = responses.withColumn("__c", F.from_json("raw_response", CLAIMS))
+    parsed = _once(responses, F.from_json("raw_response", CLAIMS).alias("__c"))
     rows = parsed.select(*[c for c in responses.columns if c != "raw_response"], F.posexplode("__c.claims").alias("ordinal", "claim"))
     obj = F.col("claim.object")
     own = [F.coalesce(obj["mention"][f], obj[f]).alias(f) for f in ("surface", "entity_type", "quote", "span")]
@@ -78,8 +83,8 @@ def checked(rows: DataFrame, ontology: DataFrame) -> DataFrame:
     fits = F.when(entity, (kind_of == "entity") & F.coalesce(one_of(c("object.entity_type"), F.col("__object")), F.lit(True)))
     fits = fits.when(literal & (kind_of == "enum"), F.coalesce(one_of(c("object.value"), F.col("__object")), F.lit(False))).when(literal, F.coalesce(c("object.literal_type") == kind_of, F.lit(False))).otherwise(False)
     at = lambda who: place(F.col("content"), c(f"{who}.surface"), c(f"{who}.quote"), c(f"{who}.span"))
-    out = out.withColumn("__s", F.when(known, at("subject"))).withColumn("__o", F.when(known & entity, at("object")))
-    out = out.withColumn("__v", F.when(known & literal, _located(F.col("content"), c("object.quote"), c("object.value"))))
+    value_at = _located(F.col("content"), c("object.quote"), c("object.value"))
+    out = _once(out, F.when(known, at("subject")).alias("__s"), F.when(known & entity, at("object")).alias("__o"), F.when(known & literal, value_at).alias("__v"))
     a, b = (F.coalesce(F.get(c("object.span"), F.lit(i)), F.lit(0)) for i in (0, 1))
     outside = (a >= F.octet_length("content")) | (b > F.octet_length("content")) | (a >= b)
     quoted = c("object.quote").isNotNull()
@@ -94,7 +99,7 @@ def checked(rows: DataFrame, ontology: DataFrame) -> DataFrame:
             F.when(known & literal & ~quoted & outside, "span_out_of_bounds"),
         )
     )
-    out = out.withColumn("errors", errors)
+    out = _once(out, errors.alias("errors"))
     mended = lambda who, where: F.col("claim").getField(who).withField("surface", F.col(f"{where}.repaired")).withField("span", F.array(f"{where}.start", f"{where}.end"))
     value = c("object").withField("value", F.col("__v.repaired")).withField("span", F.array("__v.start", "__v.end"))
     whole = F.col("claim").withField("subject", mended("subject", "__s")).withField("object", F.when(entity, mended("object", "__o")).when(quoted, value).otherwise(c("object")))

@@ -266,3 +266,14 @@ def test_engine_answers_by_any_name_of_a_group(spark):
     split = own.declare(spark.createDataFrame([say(5, "split", "annie", None, "ann")], schema))
     assert {r.object for r in split.entity("annie").collect()} == {"cid"} and {r.object for r in split.entity("ann").collect()} == {"bob"}
     assert own.stats().first().entities == 2
+
+
+def test_claims_are_placed_once(spark, sf):
+    from epistema.catalogue import search
+    from epistema.operators import extract
+    from epistema.schema import ontology
+
+    made = extract.checked(extract.claims(search.responses(spark, sf)), ontology(spark))
+    places = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("locate(")
+    # the filter on errors held all places again before, and each use of a place its whole expression
+    assert places(extract.project(extract.quarantine(made)[0])) == places(made) < 60
