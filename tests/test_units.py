@@ -277,3 +277,10 @@ def test_claims_are_placed_once(spark, sf):
     places = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("locate(")
     # the filter on errors held all places again before, and each use of a place its whole expression
     assert places(extract.project(extract.quarantine(made)[0])) == places(made) < 60
+
+
+def test_rows_lost_are_counted_with_repeats(spark):
+    rows = lambda *n: spark.createDataFrame([(x, None if x == 3 else "v") for x in n], "a int, b string")
+    before, after = rows(1, 1, 1, 2, 3, 3, 4), rows(1, 2, 2, 3, 5)
+    got = {r.a: r.n for r in rel.lost(before, after).collect()}
+    assert got == {1: 2, 3: 1, 4: 1} and sum(got.values()) == before.exceptAll(after).count()
