@@ -96,3 +96,13 @@ def test_a_walk_from_nowhere(spark):
     none = spark.createDataFrame([], "src string, dst string, predicate string, statement_id string")
     nodes, edges, truncated = graph.bounded(none, spark.createDataFrame([("a",), ("a",)], "node string"), 2, 5)
     assert [tuple(r) for r in nodes.collect()] == [("a", 0)] and not edges.count() and not truncated
+
+
+def test_rounds_of_communities_move_numbers(spark, monkeypatch):
+    written, whole = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append([f.dataType.simpleString() for f in df.schema]) or whole(df))
+    edges = [("b", "a", 1.0), ("é", "a", 1.0), ("Z", "b", 2.0), ("c", "c", 1.0)]
+    got = {r.node: r.label for r in graph.communities(spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    assert got == propagated(edges)
+    # every table of a round held names before
+    assert sum("string" in types for types in written) == 1
