@@ -106,3 +106,40 @@ def test_rounds_of_communities_move_numbers(spark, monkeypatch):
     assert got == propagated(edges)
     # every table of a round held names before
     assert sum("string" in types for types in written) == 1
+
+
+def least_reachable(links):
+    least = {n: n for link in links for n in link if link[0] != link[1]}
+    for _ in least:
+        before = dict(least)
+        for u, v in links:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+        if least == before:
+            return least
+    return least
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_components_shrink_from_round_to_round(spark, monkeypatch, kind):
+    far = 2**40 if kind == "long" else 2**20
+    links = [(i, i + 1) for i in range(120)] + [(i * far, (i + 1) * far) for i in range(1000 // far + 1, 9)] + [(-7, -3), (-3, -9), (500, 500), (7000, 7001), (7001, 7000)]
+    links += [(9000 + i % 13, 9000 + i % 7) for i in range(91)]
+    links = [(str(u), str(v)) for u, v in links] if kind == "string" else links
+    written, whole = [], graph.settled
+
+    def counted(df):
+        out = whole(df)
+        if out.columns == ["u", "v"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "settled", counted)
+    table = spark.createDataFrame([*links, (None, links[0][0])], f"u {kind}, v {kind}")
+    got = graph.components(table)
+    assert [f.dataType.simpleString() for f in got.schema] == [table.schema["u"].dataType.simpleString()] * 2
+    rows = got.collect()
+    assert {r.id: r.component for r in rows} == least_reachable(links) and len(rows) == len(least_reachable(links))
+    # every node but the least of each component stayed in all rounds before
+    assert written[-1] == 0 and sum(written[1:]) < written[0]
+    assert not graph.components(table.limit(0)).count()

@@ -181,6 +181,27 @@ def test_a_derived_episode_for_each_set_of_members(spark, tmp_path):
     assert store.derived().count() == 5
 
 
+def test_links_seen_before_are_not_clustered_again(spark, tmp_path, monkeypatch):
+    from epistema.operators import graph
+    from epistema.plans.consolidate import Consolidation
+
+    rows = [("s1", 1), ("s1", 2), ("s1", 2), ("s2", 2), ("s2", 3), ("s4", 8), ("s4", 9), ("s5", None), (None, 9), (None, 4)]
+    table = lambda rows: spark.createDataFrame([(s, e, f"e:{s}", f"o:{e}") for s, e in rows], "statement_id string, episode_id long, subject_id string, object string")
+    episodes = spark.createDataFrame([(i, f"First of {i}.", 0) for i in range(12)], "episode_id long, content string, ingested_at long")
+    beliefs = spark.createDataFrame([], "subject_id string, status string, distinct_episodes long, n_untrusted long")
+    times, clustered = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda *a, **k: times.append(1) or clustered(*a, **k))
+    store = Consolidation(spark, folder(tmp_path))
+    made = lambda rows, extractor="x": (store.run(table(rows), episodes, beliefs, extractor, 0), len(times))
+    assert made([], "none") == (0, 1) and not store.derived().count() and not store.links().count()
+    assert made(rows) == (2, 2)
+    assert made(rows[::-1]) == (0, 2) and made(rows[:2] + rows[3:]) == (0, 2)  # the same links
+    assert made(rows[:6]) == (0, 3) and made(rows[:6]) == (0, 3) and made(rows) == (0, 3)  # sets made before, found by other links
+    assert made(rows, "other") == (2, 4)
+    assert made([*rows, ("s4", 10)]) == (1, 5)
+    assert sorted(r.n_members for r in store.derived().collect()) == [2, 2, 3, 3, 3]
+
+
 def test_occurrence_ids_are_those_of_one_chain(spark):
     import hashlib
 
