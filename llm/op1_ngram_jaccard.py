@@ -6,12 +6,13 @@
    (packed exchange), which fixes the global order: rarest first, then by hash.
    An n-gram of one class only can't be shared, so just its number is kept.
 3. Two sets within the threshold share one of their first ``n - needed + 1``
-   n-grams. Classes are grouped by these rare n-grams into candidate clusters;
-   most documents share none and leave here.
-4. In a cluster the ordered sets are stored in a trie. Each set traverses it:
-   sets with a common start share one partial overlap, and a subtree is left as
-   soon as overlap and remaining lengths can't reach the bound. Subtrees that
-   are already connected to the probe are passed over.
+   n-grams. Classes are grouped by these rare n-grams, where their sizes are near
+   enough, into candidate clusters; most documents share none and leave here.
+4. In a cluster the ordered sets are stored in a trie. Each set traverses it
+   towards the sets that share one of its rare n-grams: sets with a common start
+   share one partial overlap, and a subtree is left as soon as overlap and
+   remaining lengths can't reach the bound, or it holds no such set that isn't
+   already connected to the probe.
 5. A cluster larger than ``block_bytes`` is dealt over blocks: first each block
    is joined with itself and the cluster's root, then every class outside the
    largest component so far is sent, in blocks, to all blocks. No link between
@@ -26,6 +27,7 @@ with different sets, the classes of those are connected through it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,81 +145,106 @@ def candidate_sets(docs: DataFrame, profile: DataFrame, size: int, num: int, den
     return batches.groupBy("src").cogroup(both.groupBy("src")).applyInArrow(order, SETS)
 
 
-class _Node:
-    __slots__ = ("children", "docs", "first", "last", "least", "longest", "most", "segment", "whole")
-
-    def __init__(self, segment: np.ndarray) -> None:
-        self.segment, self.children, self.docs, self.whole = segment, [], [], False
-
-
 class SetTrie:
     """Ordered sets in a compressed trie; ``links`` yields a spanning set of links between them.
 
-    sets: ascending keys of each; sizes: their sizes with the n-grams that no other set has.
+    sets: ascending keys of each; sizes: their sizes with the n-grams that no other set has. Nodes are arrays, level by level and from left to
+    right, so the node of a set in a level is found by the first set below each.
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int], num: int, den: int) -> None:
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.order, self.sets, self.sizes = order, [sets[i] for i in order], [sizes[i] for i in order]
+        self.order, self.sizes = order, np.array([sizes[i] for i in order], np.int64)
         self.num, self.den = num, den
-        self.parent = list(range(len(sets)))
-        self.root = self._build()
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+        lengths = [len(sets[i]) for i in order]
+        keys, codes = np.unique(np.concatenate([*(sets[i] for i in order), np.zeros(0, np.uint64)]), return_inverse=True)
+        self.sets = np.split(codes, np.cumsum(lengths)[:-1]) if order else []
+        self.own = np.zeros(len(keys), bool)  # n-grams of the set that traverses
+        self.label, self.members = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
+        self._build()
+        self._index()
+
+    def _connect(self, i: int, j: int) -> None:
+        a, b = int(self.label[i]), int(self.label[j])
+        if len(self.members[a]) > len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(a)
+        self.label[moved] = b
+        self.members[b].extend(moved)
+
+    def _index(self) -> None:
+        """Of each rare n-gram by which sets are to be found, the sets in order."""
+        heads = [s[: max(0, len(s) + 1 - -(-self.num * n // self.den))] for s, n in zip(self.sets, self.sizes.tolist(), strict=True)]
+        lengths = np.array([len(h) for h in heads], np.int64)
+        keys = np.concatenate([*heads, np.zeros(0, np.int64)])
+        self.bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        order = np.argsort(keys, kind="stable")
+        self.sharing = np.repeat(np.arange(len(heads)), lengths)[order]
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.arange(len(keys))
+        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(keys)))
+        self.begin, self.end = np.repeat(first, size), np.repeat(first + size, size)
+
+    def _near(self, p: int, before: bool) -> np.ndarray:
+        """Sets of a possible size that share enough rare n-grams with set p and aren't connected to it; before: only those that come first.
+
+        What two sets share is among their rare n-grams or among what follows those of one, which is less than a set has to share at least.
+        """
+        at = self.place[self.bounds[p] : self.bounds[p + 1]]
+        to = at if before else self.end[at]
+        found = [self.sharing[a:b] for a, b in zip(self.begin[at].tolist(), to.tolist(), strict=True) if a < b]
+        if not found:
+            return np.zeros(0, np.int64)
+        found, shared = np.unique(np.concatenate(found), return_counts=True)
+        n, many = self.sizes[p], self.sizes[found]
+        most = shared + -(-self.num * np.maximum(many, n) // self.den) - 1
+        good = (self.den * np.minimum(many, n) >= self.num * np.maximum(many, n)) & ((self.num + self.den) * most >= self.num * (n + many))
+        return found[good & (self.label[found] != self.label[p])]
+
+    def _build(self) -> None:
+        """Of each level of nodes: the first and last set below each, its part of those sets, their least and greatest size and the most that is left of one below it."""
+        self.depth = np.zeros(len(self.sets), np.int64)  # the level in which a set ends
+        common = [0]
+        for s, t in zip(self.sets, self.sets[1:], strict=False):
+            k = min(len(s), len(t))
+            differ = np.flatnonzero(s[:k] != t[:k])
+            common.append(int(differ[0]) if len(differ) else k)
+        path: list[list] = []  # nodes on the way to the set before: first set, beginning and end of the part, nodes below
+        top: list[tuple] = []
+
+        def close(to: int, last: int) -> None:
+            """Ends the nodes that begin at ``to`` or later."""
+            while path and path[-1][1] >= to:
+                first, begin, end, under = path.pop()
+                (path[-1][3] if path else top).append((first, last, begin, end, under))
 
-    def _build(self) -> _Node:
-        root = _Node(np.zeros(0, np.uint64))
-        path: list[tuple[_Node, int]] = [(root, 0)]  # nodes from the root, with the depth at which each ends
-        before = np.zeros(0, np.uint64)
         for i, s in enumerate(self.sets):
-            k = min(len(before), len(s))
-            differ = np.flatnonzero(before[:k] != s[:k])
-            common = int(differ[0]) if len(differ) else k
-            while len(path) > 1 and path[-2][1] >= common:
-                path.pop()
-            node, depth = path[-1]
-            if depth > common:  # split the node's segment
-                above = path[-2][0]
-                cut = common - path[-2][1]
-                top = _Node(node.segment[:cut])
-                node.segment = node.segment[cut:]
-                top.children.append(node)
-                above.children[-1] = top
-                path[-1] = (top, common)
-                node = top
-            if len(s) > common:
-                leaf = _Node(s[common:])
-                node.children.append(leaf)
-                path.append((leaf, len(s)))
-                node = leaf
-            node.docs.append(i)
-            before = s
-        stack, seen = [(root, 0)], []
-        while stack:
-            node, depth = stack.pop()
-            depth += len(node.segment)
-            seen.append((node, depth))
-            stack.extend((c, depth) for c in node.children)
-        for node, depth in reversed(seen):
-            own = [*node.docs, *(x for c in node.children for x in (c.first, c.last))]
-            node.first, node.last = min(own, default=0), max(own, default=-1)
-            node.least = min([*(self.sizes[i] for i in node.docs), *(c.least for c in node.children)], default=0)
-            node.most = max([*(self.sizes[i] for i in node.docs), *(c.most for c in node.children)], default=0)
-            node.longest = max([*(len(self.sets[i]) - depth for i in node.docs), *(len(c.segment) + c.longest for c in node.children)], default=0)
-        return root
-
-    def _joined(self, node: _Node) -> bool:
-        """Whether all sets below are known to be connected."""
-        if not node.whole:
-            top = self.find(node.first)
-            node.whole = all(self.find(i) == top for i in node.docs) and all(self._one(c) and self.find(c.first) == top for c in node.children)
-        return node.whole
-
-    def _one(self, node: _Node) -> bool:
-        return node.whole or (not node.children and self._joined(node))
+            c = common[i]
+            close(c, i - 1)
+            if path and path[-1][2] > c:  # splits the part of the last open node
+                first, begin, end, under = path.pop()
+                path.append([first, begin, c, [(first, i - 1, c, end, under)]])
+            if len(s) > c:
+                path.append([i, c, len(s), []])
+        close(0, len(self.sets) - 1)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        size = np.array([len(x) for x in self.sets], np.int64)
+        level, d = top, 0
+        while level:
+            first, last, begin, end = (np.array([n[k] for n in level], np.int64) for k in range(4))
+            parts = [self.sets[f][x:y] for f, x, y in zip(first.tolist(), begin.tolist(), end.tolist(), strict=True)]
+            within = np.stack((first, last + 1), 1).ravel()
+            pick = lambda f, v, edge: f.reduceat(np.append(v, edge), within)[::2]
+            least, most, longest = pick(np.minimum, self.sizes, 0), pick(np.maximum, self.sizes, 0), pick(np.maximum, size, 0) - end
+            self.levels.append((first, last, np.concatenate(parts), np.concatenate(([0], np.cumsum(end - begin))), least, most, longest))
+            d += 1
+            held = np.flatnonzero(size[first] == end)  # sets that end in these nodes are the first below them, with their copies
+            for f, e, l in zip(first[held].tolist(), end[held].tolist(), last[held].tolist(), strict=True):
+                while f <= l and size[f] == e:
+                    self.depth[f] = d
+                    f += 1
+            level = [x for n in level for x in n[4]]
 
     def links(self, probes: set[int] | None = None) -> Iterator[tuple[int, int]]:
         """Links as pairs of indices into the sets given, enough of them to connect all that links connect.
@@ -227,28 +254,34 @@ class SetTrie:
         num, den = self.num, self.den
         asked = range(len(self.sets)) if probes is None else [i for i, j in enumerate(self.order) if j in probes]
         for p in asked:
-            own, n = self.sets[p], self.sizes[p]
-            mine = self.find(p)
-            stack = [(self.root, 0)]
-            while stack:
-                node, overlap = stack.pop()
-                if (probes is None and node.first >= p) or den * min(n, node.most) < num * n or num * node.least > den * n:
-                    continue
-                if self._joined(node) and self.find(node.first) == mine:
-                    continue
-                left = len(own)
-                seg = node.segment
-                if len(seg):
-                    at = np.searchsorted(own, seg)
-                    overlap += int(np.count_nonzero(own[np.minimum(at, len(own) - 1)] == seg)) if len(own) else 0
-                    left = len(own) - int(np.searchsorted(own, seg[-1], side="right"))
-                if (num + den) * (overlap + min(node.longest, left)) < num * (n + max(node.least, -(-num * n // den))):
-                    continue
-                for i in node.docs:
-                    if i != p and (probes is not None or i < p) and self.find(i) != mine and (num + den) * overlap >= num * (n + self.sizes[i]):
+            near = self._near(p, probes is None)
+            if not len(near):
+                continue
+            own, n = self.sets[p], int(self.sizes[p])
+            self.own[own] = True
+            overlap = np.zeros(len(near), np.int64)
+            for d, (first, last, parts, bounds, least, most, longest) in enumerate(self.levels, 1):
+                at = np.searchsorted(first, near, side="right") - 1
+                new = np.concatenate(([True], at[1:] != at[:-1]))
+                nodes, of = at[new], np.cumsum(new) - 1
+                size = bounds[nodes + 1] - bounds[nodes]
+                begin = np.cumsum(size) - size
+                part = parts[np.arange(int(size.sum())) + np.repeat(bounds[nodes] - begin, size)]
+                overlap += np.add.reduceat(self.own[part].astype(np.int64), begin)[of]
+                left = len(own) - np.searchsorted(own, part[begin + size - 1], side="right")
+                most_left = np.minimum(longest[nodes], left)[of] + overlap
+                good = (num + den) * most_left >= num * (n + np.maximum(least[nodes], -(-num * n // den)))[of]
+                good &= ((den * np.minimum(n, most[nodes]) >= num * n) & (num * least[nodes] <= den * n))[of]
+                ended = self.depth[near] == d
+                for i in near[ended & good & ((num + den) * overlap >= num * (n + self.sizes[near]))].tolist():
+                    if self.label[i] != self.label[p]:
                         yield self.order[p], self.order[i]
-                        self.parent[mine] = mine = self.find(i)
-                stack.extend((c, overlap) for c in node.children)
+                        self._connect(p, i)
+                good &= ~ended & (self.label[near] != self.label[p])
+                near, overlap = near[good], overlap[good]
+                if not len(near):
+                    break
+            self.own[own] = False
 
 
 def _read(table: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
@@ -271,9 +304,14 @@ def _linker(num: int, den: int):
 
 def links(sets: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
     """(u, v) between classes: links enough to connect all that links connect."""
-    post = sets.select("rep", F.explode("prefix").alias("key"))
-    roots = post.groupBy("key").agg(F.min("rep").alias("root"), F.count("*").alias("c")).filter("c > 1")
-    near = post.join(roots, "key").filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    # sizes that can link are in one class of sizes or in two that follow each other; classes are a little wider than that takes, for rounding
+    step = math.log(den / num) * 1.001 if num < den else 1e-12
+    sized = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long").alias("sized")
+    post = sets.select("rep", sized, F.explode("prefix").alias("key"))
+    roots = post.groupBy("key", "sized").agg(F.min("rep").alias("root"), F.count("*").alias("c"))
+    near = post.join(roots.filter("c > 1"), ["key", "sized"]).filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    above = roots.select("key", (F.col("sized") - 1).alias("sized"), F.col("root").alias("v"))
+    near = near.unionByName(roots.join(above, ["key", "sized"]).select(F.col("root").alias("u"), "v"))
     cluster = components.components(near)
     placed = shared.written(sets.join(cluster.withColumnRenamed("id", "rep"), "rep").select("component", "rep", "n", "tokens"))
     mass = placed.groupBy("component").agg(F.sum(F.length("tokens") + 64).alias("b"), F.count("*").alias("c")).filter("c > 1").withColumn("k", F.ceil(F.col("b") / block_bytes).cast("int"))

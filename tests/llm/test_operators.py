@@ -74,6 +74,43 @@ def test_op1_an_id_is_one_node(spark):
     assert {k for i, _, k in got if i in (3, 5, 7)} == {3} and {k for i, _, k in got if i == 9} == {8}
 
 
+def test_op1_a_set_meets_only_sets_that_share_rare_shingles(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    common = rng.sample(range(10**6, 2 * 10**6), 300)
+    # groups of near copies that share common shingles with each other, which chain them to one cluster
+    sets, group = [], []
+    for g in range(40):
+        base = rng.sample(range(10**6), 60)
+        for _ in range(4):
+            sets.append(np.array(sorted({*base[: 60 - rng.randrange(3)], *rng.sample(common, 40), g * 10**3 + rng.randrange(3)} if g % 4 else {*rng.sample(base, 58), *common[:40]}), np.uint64))
+            group.append(g)
+    met, whole = [], op1_ngram_jaccard.SetTrie._near
+    monkeypatch.setattr(op1_ngram_jaccard.SetTrie, "_near", lambda self, p, before: met.append(whole(self, p, before)) or met[-1])
+    for num in (60, 90):
+        met.clear()
+        links = list(op1_ngram_jaccard.SetTrie(sets, [len(s) for s in sets], num, 100).links())
+        sizes = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+        true = [k for k, c in sizes.items() if 100 * c >= num * (len(sets[k[0]]) + len(sets[k[1]]) - c)]
+        assert true and components_of(len(sets), links) == components_of(len(sets), true)
+        # all sets before each are 12,720 pairs
+        assert sum(map(len, met)) < 1000
+
+
+def components_of(n, links):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
 def thue_morse(n):
     """Two words that powers of any base modulo 2**64 hash alike from 1,024 bytes on."""
     bits = [bin(i).count("1") & 1 for i in range(n)]
