@@ -99,6 +99,18 @@ def test_a_crowded_band_is_not_compared_in_all_pairs(spark, tmp_path, monkeypatc
     assert met[0][1] <= 64 and met[1][0] == ["space", "type", "mark"] and met[1][1] < 60
 
 
+def test_names_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    plans, whole = [], keys_module.settled
+    monkeypatch.setattr(keys_module, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    keys = Keys(spark, folder(tmp_path), parts=2)
+    for batch in (0, 1):
+        rows = [(1000 * batch + i, "s", "Person", f"customer#{i:09}") for i in range(70 + batch)]
+        got = keys.resolve(spark.createDataFrame(rows, "mention_id long, space string, type string, surface string"))
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "batch#" not in line]  # batches are a row each
+    assert len(plans) > 10 and not sent
+
+
 def scores(docs, queries, idx):
     """BM25 of phrases by counting in the texts."""
     import re
